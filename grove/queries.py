@@ -1,0 +1,4 @@
+"""Queries over the test tables, by name, and the SQL that gives the same rows."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
