@@ -24,7 +24,7 @@ from .common import cut
 
 REACH = 80
 MIN_CONTEXTS = 3
-GENERALISE = 0.85
+GENERALISE = 0.9
 REMOVE = 0.97
 #: Up to so many rows (each some tens of bytes) a table may be broadcast; beyond that it is joined by key.
 BROADCAST_ROWS = 50_000
@@ -91,7 +91,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 def entities(spanned: DataFrame) -> DataFrame:
     """_uid, entity and its context, from rows of _uid, _t and _spans; one row for each base span."""
-    one = spanned.where("size(_spans) > 0").select("_uid", "_t", F.explode("_spans").alias("s"))
+    one = spanned.select("_uid", "_t", F.explode("_spans").alias("s"))
     left = F.expr(f"substring(_t, greatest(s.start - {REACH}, 0) + 1, least(s.start, {REACH}))")
     right = F.expr(f"substring(_t, s.end + 1, {REACH})")
     # a word that the window cuts through is not a term of it
@@ -100,27 +100,33 @@ def entities(spanned: DataFrame) -> DataFrame:
     return one.select("_uid", F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("s.k") + 1), F.lower("s.m")).alias("entity"), F.concat_ws("\n", left, right).alias("context"))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """entity, term, disclosure and action. docs has _uid and _t; found is entities(), stored."""
+def disclosing_terms(docs: DataFrame, held: DataFrame, found: DataFrame) -> DataFrame:
+    """entity, term, disclosure and action. docs has _t; held has _uid and _t of the documents with entities, found is entities(); both stored."""
     n = docs.count()
     near = found.select("_uid", "entity", F.xxhash64("context").alias("c"), F.explode(_words(F.col("context"))).alias("term"))
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("c").alias("contexts"), F.count_distinct("_uid").alias("both")).where(F.col("contexts") >= MIN_CONTEXTS)
-    pairs = cut(pairs.select("entity", "term", "both"))
     of_entity = found.groupBy("entity").agg(F.count_distinct("_uid").alias("n_e"))
+    ic = F.log2(F.lit(float(n)) / F.col("n_e"))
+
+    def measured(rows: DataFrame, n_t: str) -> DataFrame:
+        pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("n_e") * F.greatest(n_t, "both")))
+        return rows.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).where(F.col("disclosure") >= GENERALISE)
+
+    # a term's documents with entities are some of its documents: what those alone rule out needs no count over the corpus
+    some = held.select(F.explode(_words(F.col("_t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_some"))
+    pairs = measured(pairs.join(of_entity, "entity").join(some, "term"), "n_some")
+    pairs = cut(pairs.select("entity", "term", "both", "n_e"))
     wanted = cut(pairs.select("term").distinct())
     terms = docs.select(F.explode(_words(F.col("_t"))).alias("term")).join(_small(wanted), "term", "left_semi")
     of_term = terms.groupBy("term").agg(F.count("*").alias("n_t"))
-    measured = pairs.join(of_entity, "entity").join(of_term, "term")
-    pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("n_e") * F.greatest("n_t", "both")))
-    ic = F.log2(F.lit(float(n)) / F.col("n_e"))
-    measured = measured.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0)))
     action = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    return measured.where(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure", action.alias("action"))
+    return measured(pairs.join(of_term, "term"), "n_t").select("entity", "term", "disclosure", action.alias("action"))
 
 
-def terms_of_documents(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """_uid, _removed and _generalised: the disclosing terms of the entities in it (stored)."""
-    marks = cut(disclosing_terms(docs, found))
+def terms_of_documents(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """_uid, _removed and _generalised: the disclosing terms of the entities in it (stored). held: the rows of docs with entities."""
+    found = cut(entities(held))
+    marks = cut(disclosing_terms(docs, held, found))
     hit = found.select("_uid", "entity").distinct().join(_small(marks), "entity")
     of_doc = hit.groupBy("_uid").agg(F.collect_set(F.when(F.col("action") == "remove", F.col("term"))).alias("_removed"), F.collect_set("term").alias("_all"))
     return cut(of_doc.select("_uid", "_removed", F.array_except("_all", "_removed").alias("_generalised")))
@@ -138,15 +144,19 @@ def with_term_spans(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_terms", F.expr(f"array_sort({clear})")).drop("_w_removed", "_q_removed", "_w_generalised", "_q_generalised")
 
 
+def with_entities(spanned: DataFrame) -> DataFrame:
+    """_uid, _t and _spans of the documents that have base spans, each once (stored)."""
+    return cut(spanned.where("size(_spans) > 0").select("_uid", "_t", "_spans").dropDuplicates(["_uid"]))
+
+
 def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, _spans (base) and _terms of every row."""
     texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_t"))
     texts = texts.withColumn("_uid", F.xxhash64("doc_id", "_t"))
     spanned = base_spans(texts)
-    found = cut(entities(spanned))
-    chosen = terms_of_documents(texts.select("_uid", "_t"), found)
-    some = base_spans(texts.select("_uid", "_t").join(_small(chosen), "_uid").dropDuplicates(["_uid"]))
-    terms = with_term_spans(some).select("_uid", "_terms")
+    held = with_entities(spanned)
+    chosen = terms_of_documents(texts, held)
+    terms = with_term_spans(held.join(_small(chosen), "_uid")).select("_uid", "_terms")
     return spanned.select("doc_id", "_uid", "_spans").join(terms, "_uid", "left").select("doc_id", "_spans", "_terms")
 
 
@@ -166,7 +176,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with their columns; in text base spans become [EMAIL] and so on, disclosing terms go or become [TERM]; n_chars to match."""
     rows = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_uid", F.xxhash64(F.col("doc_id").cast("long"), F.col("_t")))
     texts = rows.select("_uid", "_t")
-    chosen = terms_of_documents(texts, cut(entities(base_spans(texts))))
+    chosen = terms_of_documents(texts, with_entities(base_spans(texts)))
     joined = base_spans(rows.join(_small(chosen), "_uid", "left"))
     none = F.expr("cast(array() as array<string>)")
     joined = joined.withColumns({c: F.coalesce(F.col(c), none) for c in ("_removed", "_generalised")})
