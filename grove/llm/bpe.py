@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, record_batch
+from .common import batches, record_batch, slices
 from .tokens import public
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -225,7 +225,7 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: s
 
     def run(parts):
         schema, own = batches(out), bpe(path)
-        for part in parts:
+        for part in slices(parts):
             yield record_batch(schema, [part.column(0), [own.encode(t or "") for t in part.column(1).to_pylist()]])
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, out)
@@ -240,7 +240,7 @@ def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:
     def run(parts):
         schema, own = batches(DIGEST), bpe()
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for part in parts:
+        for part in slices(parts):
             rows = [(n, sha(ids.encode()), sha(raw)) for n, ids, raw in own.digests(part.column(1).to_pylist())]
             yield record_batch(schema, [part.column(0), *(zip(*rows, strict=True) if rows else ([], [], []))])
 

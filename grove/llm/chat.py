@@ -18,7 +18,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, record_batch
+from .common import batches, record_batch, slices
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
@@ -72,7 +72,7 @@ def formatted_turns(conversations: DataFrame) -> DataFrame:
 
     def run(parts):
         schema = batches(out)
-        for part in parts:
+        for part in slices(parts):
             made = [render(r, t) for r, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield record_batch(schema, [*part.columns, made])
 
@@ -96,7 +96,7 @@ def read_back(turns: DataFrame) -> DataFrame:
         def closed():
             return now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]
 
-        for part in parts:
+        for part in slices(parts):
             for conv, formatted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 if conv != now or state is None:
                     if state:

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, cut, record_batch
+from .common import batches, cut, record_batch, slices
 from .tokens import public, rank_encoder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", context:
 
     def run(parts):
         schema, encode, end = batches(out), rank_encoder(path).encode, np.array([END], "<u4").tobytes()
-        for part in parts:
+        for part in slices(parts):
             columns: list[list] = [[] for _ in schema]
             for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
                 ids += end

@@ -23,7 +23,7 @@ from bisect import bisect_left, bisect_right
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, record_batch
+from .common import batches, record_batch, slices
 
 RANGES = 2048
 RANGE_PAGES = 1000
@@ -242,7 +242,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body:
 
     def keys(parts):
         schema = batches("host string, path string, page_id long")
-        for part in parts:
+        for part in slices(parts):
             found = [(*place_of(u), p) for u, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
             yield record_batch(schema, list(zip(*found, strict=True)) if found else [[], [], []])
 
@@ -258,7 +258,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body:
 
     def range_of(parts):
         schema = batches("r int, host string, path string, page_id long")
-        for part in parts:
+        for part in slices(parts):
             found = [(*place_of(u), p) for u, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
             yield record_batch(schema, list(zip(*((bisect_right(splits, order(k)), *k) for k in found), strict=True)) if found else [[], [], [], []])
 
@@ -277,7 +277,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body:
         import zlib
 
         schema = batches(shuffled)
-        for part in parts:
+        for part in slices(parts):
             out: list[list] = [[] for _ in schema]
             for p, u, h in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                 host, path = place_of(u)
@@ -304,7 +304,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", body:
                 for column, value in zip(done, (page[5], page[6], text, len(text)), strict=True):
                     column.append(value)
 
-        for part in parts:
+        for part in slices(parts):
             for r, host, path, p, own, u, packed in zip(*(part.column(k).to_pylist() for k in range(7)), strict=True):
                 after = (r, host, path, [tuple(x) for x in json.loads(zlib.decompress(packed))], own, p, u)
                 if now:

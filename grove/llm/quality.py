@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, batches, record_batch, utf8
+from .common import batches, record_batch, slices, utf8, SPACES
 
 MAX_LOST = 0.5
 SYMBOLS = b"#*$%&|<>"
@@ -125,7 +125,7 @@ def judged(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
         schema = batches(out)
         import pyarrow as pa
 
-        for part in parts:
+        for part in slices(parts):
             rows = [judge(t, with_text) for t in part.column(0).to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(10)]
             own = record_batch(schema, columns[: len(schema)])

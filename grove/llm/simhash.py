@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from grove.operators.components import connected_components
 
-from .common import batches, cut, record_batch, utf8
+from .common import batches, cut, record_batch, slices, utf8
 
 WIDTH = 3
 RADIUS = 3
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     def run(parts):
         schema = batches("doc_id long, fp long")
-        for part in parts:
+        for part in slices(parts):
             fps = np.array([fingerprint(t, width) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
             yield record_batch(schema, [part.column(0), fps])
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, record_batch
+from .common import batches, record_batch, slices
 from .tokens import public, rank_encoder
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,7 +25,7 @@ def encoded_lengths(docs: DataFrame, text: str = "text", path: str | None = None
 
     def run(parts):
         schema, encode = batches("n_tokens long"), rank_encoder(path).encode
-        for part in parts:
+        for part in slices(parts):
             yield record_batch(schema, [[len(b) // 4 for b in encode(part.column(0).to_pylist())]])
 
     return docs.select(F.col(text).cast("string")).mapInArrow(run, "n_tokens long")

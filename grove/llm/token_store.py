@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, fresh_path, record_batch
+from .common import batches, fresh_path, record_batch, slices
 from .tokens import encoder, public
 
 TOKENIZER = "word_bpe_49k.json"
@@ -173,7 +173,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
         payload: list[bytes] = []
         size = 0
         seen = 0
-        for part in parts:
+        for part in slices(parts):
             for range_id, doc, own in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), encode(part.column(2).to_pylist()), strict=True):
                 if ids and (range_id != now or size >= SHARD_IDS or len(ids) >= SHARD_DOCS):
                     yield record_batch(schema, [[x] for x in _shard_row(now, shard, ids, times, payload)])
@@ -209,7 +209,7 @@ def read(spark, path: str) -> DataFrame:
 
     def run(parts):
         schema = batches("range_id int, shard int, doc_id long, place long, n_tokens long, ids_crc32 long")
-        for part in parts:
+        for part in slices(parts, 1):
             for range_id, number, docs, times, *raw in zip(*(part.column(k).to_pylist() for k in range(9)), strict=True):
                 shard = Shard(*raw)
                 there, place, length = shard.find(docs, times)

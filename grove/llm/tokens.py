@@ -6,7 +6,10 @@ A text is cut only where the pre-tokenizer must cut, so the ids are those of the
   follows, a line feed stands alone;
 * word level (white space dropped): at every space and line feed.
 
-What lies between two cuts ("chunk") is encoded by the library once and kept. The cache is emptied when it is full.
+What lies between two cuts ("chunk") is encoded once and kept; the cache is emptied when it is full. Chunks are encoded by
+the library, except at word level those that are a Latin word and perhaps closing punctuation: normalising them is lower
+case alone, they are one pre-token and one more, and the library's merges are its ids in order, so a rank encoder over the
+same vocabulary file gives the same ids in a fifth of the time. Tests hold both against the library over whole texts.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from array import array
 
 import numpy as np
 
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 _HARD = r"[^\s᠎﻿]"
 _NEWLINE = re.compile(rf"(?<={_HARD})\n(?={_HARD})")
 _SPACE = re.compile(rf"(?<={_HARD}) (?={_HARD})")
@@ -40,6 +43,8 @@ class Encoder:
         self.newline = self._ids(["\n"])[0] if spaced else b""
         self.between = "\n" if spaced else "\n\x01\n"
         self.mark = np.frombuffer(self._ids([self.between])[0], "<u4")
+        self.word = None if spaced else _word_ranks(path)._core_bpe.encode_single_piece
+        self.tails: dict[str, bytes] = {"": b""}
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.batch(chunks, add_special_tokens=False)]
@@ -59,6 +64,8 @@ class Encoder:
             new = list(words)
         else:
             new = [w for w in words if w not in cache]
+        if self.word:
+            new = [w for w in new if not self._latin(cache, w)]
         plain = [w for w in new if w.split() == [w]]
         for at in range(0, len(plain), 2048):
             some = plain[at : at + 2048]
@@ -67,6 +74,18 @@ class Encoder:
             some = [w for w in new if w not in cache]
             cache.update(zip(some, self._ids([lead + w for w in some]), strict=True))
 
+    def _latin(self, cache: dict[str, bytes], chunk: str) -> bool:
+        base = chunk.rstrip(".,;:!?")
+        if not base.isalpha() or max(base) >= "\u0250" or "\u0130" in base:
+            return False
+        tail = chunk[len(base) :]
+        if tail not in self.tails:
+            if len(self.tails) > 1000:
+                return False
+            self.tails[tail] = self._ids([tail])[0]
+        cache[chunk] = array("I", self.word(base.lower().encode() + b"\xff")).tobytes() + self.tails[tail]
+        return True
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         group: list[str] = []
@@ -95,6 +114,33 @@ class Encoder:
         return [self.newline.join([first[words[0]] + b"".join(map(after, words[1:])) for words in text]) for text in lines]
 
 
+def _vocabulary(path: str) -> tuple[dict[str, int], dict[str, int]]:
+    """The file's vocabulary, and the byte that each character of its byte alphabet stands for."""
+    from tokenizers import pre_tokenizers
+
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+    if set(byte_of) != set(pre_tokenizers.ByteLevel.alphabet()):
+        raise ValueError("another byte alphabet")
+    return vocabulary, byte_of
+
+
+def _word_ranks(path: str):
+    """A rank encoder of words that end in the byte FF, which no UTF-8 text has and which stands for the word's end."""
+    import tiktoken
+
+    vocabulary, byte_of = _vocabulary(path)
+    ranks = {}
+    for token, rank in vocabulary.items():
+        body, end = (token[:-4], b"\xff") if token.endswith("</w>") else (token, b"")
+        if body and all(c in byte_of for c in body):
+            ranks[bytes([byte_of[c] for c in body]) + end] = rank
+    return tiktoken.Encoding(path, pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+
+
 class RankEncoder:
     """The same ids for a byte-level vocabulary whose ids are its merge ranks, as encode() gives them, several times faster.
 
@@ -103,15 +149,8 @@ class RankEncoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import pre_tokenizers
-
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]["vocab"]
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        other = [b for b in range(256) if b not in plain]
-        byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
-        if set(byte_of) != set(pre_tokenizers.ByteLevel.alphabet()):
-            raise ValueError("another byte alphabet")
+
+        model, byte_of = _vocabulary(path)
         ranks = {bytes([byte_of[c] for c in token]): rank for token, rank in model.items() if all(c in byte_of for c in token)}
         ranks.pop(b"<|endoftext|>", None)
         import public_tokenizers
