@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, fresh_path, record_batch, slices
-from .tokens import encoder, public
+from .tokens import public, word_encoder
 
 TOKENIZER = "word_bpe_49k.json"
 END = 1
@@ -166,7 +166,7 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
         ranged = rows.mapInArrow(search, "doc_id long, text string, range_id int")
 
     def run(parts):
-        schema, encode, end = batches(SHARD), encoder(tokenizer, False).encode, np.array([END], "<u4").tobytes()
+        schema, encode, end = batches(SHARD), word_encoder(tokenizer).encode, np.array([END], "<u4").tobytes()
         now, shard, last = None, 0, None
         ids: list = []
         times: list[int] = []

@@ -1,117 +1,30 @@
-"""Encoding whole texts with the tokenizers library, one library call for each new word.
+"""Encoding whole texts by the vocabulary files of the tokenizers library, with that library's ids.
 
-A text is cut only where the pre-tokenizer must cut, so the ids are those of the library over the whole text:
+Both vocabularies' ids are their merge ranks, so a rank encoder over the same file gives the library's ids; tests hold each
+encoder here against the library over whole texts.
 
-* byte level: at a space or line feed with a character that is no white space on either side. The space goes to what
-  follows, a line feed stands alone;
-* word level (white space dropped): at every space and line feed.
-
-What lies between two cuts ("chunk") is encoded once and kept; the cache is emptied when it is full. Chunks are encoded by
-the library, except at word level those that are a Latin word and perhaps closing punctuation: normalising them is lower
-case alone, they are one pre-token and one more, and the library's merges are its ids in order, so a rank encoder over the
-same vocabulary file gives the same ids in a fifth of the time. Tests hold both against the library over whole texts.
+* RankEncoder: byte level, the whole text at once.
+* WordEncoder: word level (lower case, white space dropped). A text is cut at spaces and line feeds, where its
+  pre-tokenizer must cut. A chunk that is a Latin word and perhaps closing punctuation needs no normalising but lower case
+  and is one pre-token and one more: its word goes to a rank encoder. Any other chunk goes to the library. Chunks are kept
+  with their ids until there are CACHE_ENTRIES of them.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 from array import array
 
 import numpy as np
 
 CACHE_ENTRIES = 300_000
-_HARD = r"[^\s᠎﻿]"
-_NEWLINE = re.compile(rf"(?<={_HARD})\n(?={_HARD})")
-_SPACE = re.compile(rf"(?<={_HARD}) (?={_HARD})")
-
-
-class Encoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, spaced: bool):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.spaced = spaced
-        self.first: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
-        self.newline = self._ids(["\n"])[0] if spaced else b""
-        self.between = "\n" if spaced else "\n\x01\n"
-        self.mark = np.frombuffer(self._ids([self.between])[0], "<u4")
-        self.word = None if spaced else _word_ranks(path)._core_bpe.encode_single_piece
-        self.tails: dict[str, bytes] = {"": b""}
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.batch(chunks, add_special_tokens=False)]
-
-    def _joined_ids(self, words: list[str], lead: str) -> list[bytes]:
-        """Ids of lead + word for words of at least one character without white space: one call, split at the mark between them."""
-        ids = np.array(self.batch([self.between.join([lead + w for w in words])], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.flatnonzero(ids == self.mark[0])
-        if len(self.mark) != 1 or len(ends) != len(words) - 1:  # the mark's character is in a word
-            return self._ids([lead + w for w in words])
-        raw, at = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
-        return [raw[a + 4 : b] for a, b in zip(at, at[1:], strict=False)]
-
-    def _learn(self, cache: dict[str, bytes], words: set[str], lead: str) -> None:
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-            new = list(words)
-        else:
-            new = [w for w in words if w not in cache]
-        if self.word:
-            new = [w for w in new if not self._latin(cache, w)]
-        plain = [w for w in new if w.split() == [w]]
-        for at in range(0, len(plain), 2048):
-            some = plain[at : at + 2048]
-            cache.update(zip(some, self._joined_ids(some, lead), strict=True))
-        if len(plain) < len(new):
-            some = [w for w in new if w not in cache]
-            cache.update(zip(some, self._ids([lead + w for w in some]), strict=True))
-
-    def _latin(self, cache: dict[str, bytes], chunk: str) -> bool:
-        base = chunk.rstrip(".,;:!?")
-        if not base.isalpha() or max(base) >= "\u0250" or "\u0130" in base:
-            return False
-        tail = chunk[len(base) :]
-        if tail not in self.tails:
-            if len(self.tails) > 1000:
-                return False
-            self.tails[tail] = self._ids([tail])[0]
-        cache[chunk] = array("I", self.word(base.lower().encode() + b"\xff")).tobytes() + self.tails[tail]
-        return True
+def public(name: str) -> str:
+    import public_tokenizers
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        group: list[str] = []
-        size = 0
-        for text in texts:  # groups of bounded size keep the word lists small
-            group.append(text or "")
-            size += len(group[-1])
-            if size > 500_000:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        if not self.spaced:
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-            cache = self.first
-            if len(cache) > CACHE_ENTRIES:
-                cache.clear()
-            self._learn(cache, {w for words in split for w in words if w not in cache}, "")
-            get = cache.__getitem__
-            return [b"".join(map(get, words)) for words in split]
-        lines = [[_SPACE.split(line) for line in _NEWLINE.split(t)] for t in texts]
-        self._learn(self.first, {words[0] for text in lines for words in text}, "")
-        self._learn(self.after, set().union(*(words[1:] for text in lines for words in text)), " ")
-        first, after = self.first, self.after.__getitem__
-        return [self.newline.join([first[words[0]] + b"".join(map(after, words[1:])) for words in text]) for text in lines]
+    return public_tokenizers.path(name)
 
 
 def _vocabulary(path: str) -> tuple[dict[str, int], dict[str, int]]:
@@ -128,60 +41,85 @@ def _vocabulary(path: str) -> tuple[dict[str, int], dict[str, int]]:
     return vocabulary, byte_of
 
 
-def _word_ranks(path: str):
-    """A rank encoder of words that end in the byte FF, which no UTF-8 text has and which stands for the word's end."""
-    import tiktoken
-
-    vocabulary, byte_of = _vocabulary(path)
-    ranks = {}
-    for token, rank in vocabulary.items():
-        body, end = (token[:-4], b"\xff") if token.endswith("</w>") else (token, b"")
-        if body and all(c in byte_of for c in body):
-            ranks[bytes([byte_of[c] for c in body]) + end] = rank
-    return tiktoken.Encoding(path, pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
-
-
 class RankEncoder:
-    """The same ids for a byte-level vocabulary whose ids are its merge ranks, as encode() gives them, several times faster.
-
-    The vocabulary is read from the tokenizers file; tests hold the ids against the tokenizers library.
-    """
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes; no special tokens."""
 
     def __init__(self, path: str):
+        import public_tokenizers
         import tiktoken
 
-        model, byte_of = _vocabulary(path)
-        ranks = {bytes([byte_of[c] for c in token]): rank for token, rank in model.items() if all(c in byte_of for c in token)}
+        vocabulary, byte_of = _vocabulary(path)
+        ranks = {bytes([byte_of[c] for c in token]): rank for token, rank in vocabulary.items() if all(c in byte_of for c in token)}
         ranks.pop(b"<|endoftext|>", None)
-        import public_tokenizers
-
-        self.encoding = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.one = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        one = self.encoding.encode_ordinary
-        return [array("I", one(t)).tobytes() if t else b"" for t in texts]
+        return [array("I", self.one(t)).tobytes() if t else b"" for t in texts]
 
 
-_RANKED: dict[str, RankEncoder] = {}
+class _Kept(dict):
+    """Values that are made when they are first asked for."""
 
+    def __init__(self, make):
+        self.make = make
 
-def rank_encoder(path: str) -> RankEncoder:
-    if path not in _RANKED:
-        _RANKED[path] = RankEncoder(path)
-    return _RANKED[path]
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+class WordEncoder:
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes; no special tokens."""
 
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
+        from tokenizers import Tokenizer
 
-def encoder(path: str, spaced: bool) -> Encoder:
-    """One for each worker process."""
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = Encoder(path, spaced)
-    return _ENCODERS[path, spaced]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        vocabulary, byte_of = _vocabulary(path)
+        ranks = {}
+        for token, rank in vocabulary.items():  # a word's end stands as the byte FF, which no UTF-8 text has
+            body, end = (token[:-4], b"\xff") if token.endswith("</w>") else (token, b"")
+            if body and all(c in byte_of for c in body):
+                ranks[bytes([byte_of[c] for c in body]) + end] = rank
+        self.word = tiktoken.Encoding(path, pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.chunks, self.tails = _Kept(self._chunk), _Kept(self._library)
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        base = chunk.rstrip(".,;:!?")
+        if not base.isalpha() or max(base) >= "ɐ" or "İ" in base:
+            return self._library(chunk)
+        ids = array("I", self.word(base.lower().encode() + b"\xff")).tobytes()
+        return ids + self.tails[chunk[len(base) :]] if len(base) < len(chunk) else ids
 
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        out = []
+        for text in texts:
+            if len(self.chunks) > CACHE_ENTRIES:
+                self.chunks.clear()
+                self.tails.clear()
+            out.append(b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))) if text else b"")
+        return out
 
-def public(name: str) -> str:
-    import public_tokenizers
 
-    return public_tokenizers.path(name)
+_ENCODERS: dict = {}
+
+
+def _one(kind, path: str):
+    """One encoder for each worker process and file."""
+    if (kind, path) not in _ENCODERS:
+        _ENCODERS[kind, path] = kind(path)
+    return _ENCODERS[kind, path]
+
+
+def rank_encoder(path: str) -> RankEncoder:
+    return _one(RankEncoder, path)
+
+
+def word_encoder(path: str) -> WordEncoder:
+    return _one(WordEncoder, path)
