@@ -7,7 +7,8 @@
    range next to it; so a page meets the pages next to it whatever the ranges are. The nearer neighbour on the same host,
    by common URL path, is its pair (the other one if the nearer is a copy, sharing most of its text).
 3. The pair's lines are aligned by longest common subsequence; lines that both have are template, and are deleted. Lines of
-   a declared article stay, as an article that quotes its neighbour is still an article.
+   a declared article stay, as an article that quotes its neighbour is still an article; and where declared articles make
+   up ARTICLE_SHARE or more of what is left, what is left besides them goes too.
 
 Null or empty html gives an empty text. A null url is a page of its own host. Repeated rows are pages each. Pages of a hot
 host are split over many ranges. Very long pages are compared by hashed lines, and those of over LCS_LINES lines by
@@ -28,7 +29,8 @@ from .common import batches, record_batch, slices
 RANGES = 2048
 RANGE_PAGES = 1000
 LCS_LINES = 400
-COPY_SHARE = 0.5
+COPY_SHARE = 0.8
+ARTICLE_SHARE = 0.3
 
 #: Elements without main text, elements that break blocks, and names that tell what a part of a page is.
 DROPPED = frozenset("script style noscript template head nav header footer aside form button select textarea option svg math iframe object canvas dialog menu figure-actions title".split())
@@ -228,7 +230,11 @@ def main_text(page: tuple, before: tuple | None, after: tuple | None) -> str:
         if (found := difference(own, p[2])) is not None:
             template = found
             break
-    return "\n\n".join(x for i, (x, _) in enumerate(own) if i not in template)
+    left = [b for i, b in enumerate(own) if i not in template]
+    declared = [x for x, inside in left if inside]
+    if sum(map(len, declared)) >= ARTICLE_SHARE * sum(len(x) for x, _ in left):
+        return "\n\n".join(declared)
+    return "\n\n".join(x for x, _ in left)
 
 
 RESULT = "page_id long, url string, text string, n_chars long"

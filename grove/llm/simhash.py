@@ -142,16 +142,20 @@ def _links(keyed: DataFrame, radius: int, group: int) -> DataFrame:
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
-    """(u, v) between distinct fingerprints (column fp), whose components are those of all pairs within the radius."""
+    """(u, v) between distinct fingerprints (column fp), whose components are those of all pairs within the radius.
+
+    What no further family divides differs in radius positions or few more, so group must be above 2 ** (radius + 1).
+    """
+    if group < 2 ** (radius + 1):
+        raise ValueError("groups of fingerprints that no mask tells apart would never be small enough")
     keyed, found, family = distinct.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("key"), "fp"), None, 0
     while True:
         masks = covering_masks(radius, family=family)
         table = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("masked")) for k, m in enumerate(masks)]))
         keyed = keyed.select("a", "key", "fp", table.alias("x"))
         # the first family's key is the masked bits themselves; further ones add to the group they divide
-        at = F.col("x.t") if family == 0 else F.col("a") * 16 + F.col("x.t")
-        key = F.col("x.masked") if family == 0 else F.xxhash64("key", "x.masked")
-        made = cut(_links(keyed.select(at.alias("a"), key.alias("key"), "fp"), radius, group))
+        key = F.col("x.masked") if family == 0 else F.xxhash64("a", "key", "x.t", "x.masked")
+        made = cut(_links(keyed.select(F.col("x.t").alias("a"), key.alias("key"), "fp"), radius, group))
         own = made.where("fp is null").select("u", "v")
         found = own if found is None else found.unionByName(own)
         keyed = made.where("fp is not null").select("a", "key", "fp")
