@@ -1,4 +1,313 @@
 """Queries over the test tables, by name, and the SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from grove.functions import bench
+from grove.operators import edges as E
+from grove.operators import forest as M
+from grove.operators import paths as P
+from grove.operators.components import connected_components
+from grove.plans.storage import cut
+from grove.sources import tables as T
+
+#: Parameters of single queries: fixed ranks, sources and bounds that make their results worth looking at.
+NATION_RANK, SOURCE, BOUND, BUDGET, PULL = 15, 0, 600_000, 5, 10
+
+NATION = """nation_pairs AS (
+  SELECT least(c_nationkey, s_nationkey)::BIGINT AS lo, greatest(c_nationkey, s_nationkey)::BIGINT AS hi, min(CAST(round(l_extendedprice * 100) AS BIGINT)) AS w
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+  WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)"""
+TRADE = """trade_pairs AS (
+  SELECT least(o_custkey * 2, l_suppkey * 2 + 1) AS lo, greatest(o_custkey * 2, l_suppkey * 2 + 1) AS hi, min(CAST(round(l_extendedprice * 100) AS BIGINT)) AS w
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
+N_RANKED = NATION + ", nation AS (SELECT row_number() OVER (ORDER BY w, lo, hi) AS rank, lo, hi, w FROM nation_pairs)"
+T_RANKED = TRADE + ", trade AS (SELECT row_number() OVER (ORDER BY w, lo, hi) AS rank, lo, hi, w FROM trade_pairs)"
+#: An edge is in the forest if no path of edges before it joins its ends: Kruskal as a fold over ranks, with the map from
+#: vertices to components as an array.
+KRUSKAL = """fold AS (
+  SELECT 0::BIGINT AS rank, (SELECT list(i::BIGINT) FROM range(0, 25) t(i)) AS comp, false AS taken
+  UNION ALL
+  SELECT n.rank, CASE WHEN f.comp[n.lo + 1] <> f.comp[n.hi + 1] THEN list_transform(f.comp, lambda c: CASE WHEN c = greatest(f.comp[n.lo + 1], f.comp[n.hi + 1]) THEN least(f.comp[n.lo + 1], f.comp[n.hi + 1]) ELSE c END) ELSE f.comp END,
+    f.comp[n.lo + 1] <> f.comp[n.hi + 1]
+  FROM fold f JOIN nation n ON n.rank = f.rank + 1)"""
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def nation(spark, sf_dir):
+    return cut(T.ranked_edges(T.nation_pairs(spark, sf_dir)))
+
+
+def trade(spark, sf_dir):
+    return cut(T.ranked_edges(T.trade_pairs(spark, sf_dir)))
+
+
+def _n_vertices(edges):
+    return T.vertices_of(edges).count()
+
+
+@query(f"WITH {TRADE} SELECT lo, hi, w FROM trade_pairs")
+def edge_scan_canonical(spark, sf_dir):
+    return E.canonical(T.as_edges(T.trade_pairs(spark, sf_dir))).select("lo", "hi", "w")
+
+
+@query(f"WITH {T_RANKED} SELECT rank, lo, hi, w FROM trade")
+def edge_rank(spark, sf_dir):
+    return E.numbered(T.trade_pairs(spark, sf_dir), ["w", "lo", "hi"]).select("rank", "lo", "hi", "w")
+
+
+@query(
+    f"""WITH {T_RANKED}, c AS (SELECT count(*) AS m, (SELECT count(*) FROM (SELECT lo FROM trade UNION SELECT hi FROM trade)) AS n FROM trade),
+p AS (SELECT m, greatest(1, CAST(ceil(log2(n) ^ (2.0 / 3)) AS BIGINT)) AS t, log2(n) AS l FROM c),
+s AS (SELECT m, greatest(1, CAST(ceil(l / t) AS BIGINT)) AS steps FROM p)
+SELECT rank, CAST(least((rank - 1) // greatest(1, m // steps), steps - 1) AS INTEGER) AS step FROM trade, s"""
+)
+def edge_activation_steps(spark, sf_dir):
+    ranks = trade(spark, sf_dir)
+    _, steps = M.parameters(_n_vertices(ranks))
+    return E.activation_steps(ranks, ranks.count(), steps).select("rank", "step")
+
+
+@query("WITH e AS (SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS w FROM lineitem) SELECT w, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY w) AS BIGINT) AS n_up_to FROM e GROUP BY w")
+def weight_histogram_prefix(spark, sf_dir):
+    return E.weight_histogram(T.table(spark, sf_dir, "lineitem").select(F.round(F.col("l_extendedprice") * 100).cast("long").alias("w")))
+
+
+@query(f"WITH {TRADE} SELECT min(w) AS min_w, max(w) AS max_w FROM trade_pairs")
+def weight_range(spark, sf_dir):
+    return E.weight_range(T.trade_pairs(spark, sf_dir))
+
+
+@query(f"WITH {T_RANKED} SELECT DISTINCT min(rank) AS rank FROM (SELECT lo AS c, rank FROM trade UNION ALL SELECT hi, rank FROM trade) GROUP BY c")
+def coe_round0(spark, sf_dir):
+    ranks = trade(spark, sf_dir)
+    return E.selected(E.cheapest_outgoing(ranks.select(F.col("u").alias("cu"), F.col("v").alias("cv"), "rank")))
+
+
+@query(f"WITH {T_RANKED}, b AS (SELECT lo AS c, hi AS o, rank FROM trade UNION ALL SELECT hi, lo, rank FROM trade) SELECT c AS comp, min(rank) AS rank, arg_min(o, rank) AS other FROM b GROUP BY c")
+def cheapest_outgoing(spark, sf_dir):
+    return E.cheapest_outgoing(trade(spark, sf_dir).select(F.col("u").alias("cu"), F.col("v").alias("cv"), "rank"))
+
+
+@query(
+    f"""WITH RECURSIVE {N_RANKED}, e AS (SELECT lo AS a, hi AS b FROM nation WHERE rank <= {NATION_RANK} UNION ALL SELECT hi, lo FROM nation WHERE rank <= {NATION_RANK}),
+r AS (SELECT n_nationkey::BIGINT AS vertex, n_nationkey::BIGINT AS comp FROM nation_names UNION SELECT e.b, r.comp FROM r JOIN e ON e.a = r.vertex)
+SELECT vertex, min(comp) AS comp FROM r GROUP BY vertex""".replace("nation_names", "main.nation")
+)
+def components(spark, sf_dir):
+    found = connected_components(nation(spark, sf_dir).where(F.col("rank") <= NATION_RANK)).select(F.col("node").alias("vertex"), "component")
+    vertices = T.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("vertex"))
+    return vertices.join(found, "vertex", "left").select("vertex", F.coalesce("component", "vertex").alias("comp"))
+
+
+def _regions(spark, sf_dir):
+    return T.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("vertex"), F.col("n_regionkey").cast("long").alias("comp"))
+
+
+@query(
+    f"""WITH {N_RANKED.replace(", nation AS", ", ranked AS")}
+SELECT least(a.n_regionkey, b.n_regionkey)::BIGINT AS cu, greatest(a.n_regionkey, b.n_regionkey)::BIGINT AS cv, min(rank) AS rank
+FROM ranked JOIN nation a ON lo = a.n_nationkey JOIN nation b ON hi = b.n_nationkey WHERE a.n_regionkey <> b.n_regionkey GROUP BY 1, 2"""
+)
+def contract_by_region(spark, sf_dir):
+    return E.contract(nation(spark, sf_dir), _regions(spark, sf_dir))
+
+
+@query(
+    f"""WITH {N_RANKED.replace(", nation AS", ", ranked AS")}
+SELECT rank, a.n_regionkey::BIGINT AS cu, b.n_regionkey::BIGINT AS cv FROM ranked JOIN nation a ON lo = a.n_nationkey JOIN nation b ON hi = b.n_nationkey WHERE a.n_regionkey <> b.n_regionkey"""
+)
+def relabel_by_region(spark, sf_dir):
+    return E.drop_internal(E.relabel(nation(spark, sf_dir), _regions(spark, sf_dir))).select("rank", "cu", "cv")
+
+
+SUMMARY_SQL = f"WITH RECURSIVE {N_RANKED}, {KRUSKAL} SELECT CAST(sum(n.w) AS BIGINT) AS total_weight, count(*) AS n_edges FROM fold f JOIN nation n USING (rank) WHERE f.taken"
+
+
+@query(SUMMARY_SQL)
+def msf_summary(spark, sf_dir):
+    return M.summary(M.minimum_spanning_forest(T.as_edges(T.nation_pairs(spark, sf_dir))))
+
+
+@query(f"WITH RECURSIVE {N_RANKED}, {KRUSKAL} SELECT n.lo, n.hi, n.w FROM fold f JOIN nation n USING (rank) WHERE f.taken")
+def msf_edges(spark, sf_dir):
+    return M.minimum_spanning_forest(T.as_edges(T.nation_pairs(spark, sf_dir))).select(F.col("u").alias("lo"), F.col("v").alias("hi"), "w")
+
+
+@query(SUMMARY_SQL)
+def msf_rounds_summary(spark, sf_dir):
+    ranks = nation(spark, sf_dir)
+    return M.summary(ranks.join(M.boruvka_rounds(ranks, 25).ranks(spark), "rank", "left_semi"))
+
+
+@query(SUMMARY_SQL)
+def msf_superstep_summary(spark, sf_dir):
+    ranks = nation(spark, sf_dir)
+    return M.summary(ranks.join(M.superstep_forest(ranks, 25)[0], "rank", "left_semi"))
+
+
+@query()
+def msf_trade_summary(spark, sf_dir):
+    """The larger graph; its SQL takes minutes at sf0.1, so tests hold it against the known totals."""
+    return M.summary(M.minimum_spanning_forest(T.as_edges(T.trade_pairs(spark, sf_dir))))
+
+
+@query()
+def xi_rounds(spark, sf_dir):
+    ranks = trade(spark, sf_dir)
+    return M.round_trace(ranks, _n_vertices(ranks))
+
+
+@query()
+def xi_steps(spark, sf_dir):
+    ranks = trade(spark, sf_dir)
+    return M.step_trace(ranks, _n_vertices(ranks))
+
+
+def _source(spark):
+    return spark.createDataFrame([(SOURCE, 0)], "vertex long, dist long")
+
+
+ARCS = "arcs AS (SELECT lo AS src, hi AS dst, w FROM nation_pairs UNION ALL SELECT hi, lo, w FROM nation_pairs)"
+
+
+def _sssp_sql(bound: int | None = None) -> str:
+    below = f" WHERE l.dist + a.w < {bound}" if bound else ""
+    # no simple path has more than 24 edges, so 24 rounds of all arcs give the shortest
+    return f"""RECURSIVE {NATION}, {ARCS}, r AS (
+  SELECT {SOURCE}::BIGINT AS vertex, 0::BIGINT AS dist, 0 AS k
+  UNION ALL
+  SELECT vertex, min(dist), k FROM (
+    SELECT a.dst AS vertex, l.dist + a.w AS dist, l.k + 1 AS k FROM r l JOIN arcs a ON a.src = l.vertex{below}
+    UNION ALL SELECT l.vertex, l.dist, l.k + 1 FROM r l) WHERE k <= 24 GROUP BY vertex, k),
+labels AS (SELECT vertex, min(dist)::BIGINT AS dist FROM r GROUP BY vertex)"""
+
+
+def _pred_sql(bound: int | None = None) -> str:
+    return f"""WITH {_sssp_sql(bound)}
+SELECT l.vertex, l.dist, min(p.vertex) AS pred FROM labels l LEFT JOIN (SELECT a.dst, x.vertex, x.dist + a.w AS d FROM arcs a JOIN labels x ON x.vertex = a.src) p ON p.dst = l.vertex AND p.d = l.dist GROUP BY l.vertex, l.dist"""
+
+
+@query(_pred_sql())
+def sssp(spark, sf_dir):
+    return P.bounded(T.both_ways(T.nation_pairs(spark, sf_dir)), _source(spark))
+
+
+@query(_pred_sql(BOUND))
+def sssp_bounded(spark, sf_dir):
+    return P.bounded(T.both_ways(T.nation_pairs(spark, sf_dir)), _source(spark), BOUND)
+
+
+@query(
+    f"""WITH {_sssp_sql()}, near AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY dist, vertex) AS n FROM labels) WHERE n <= {BUDGET + 1}), b AS (SELECT max(dist) AS bound FROM near)
+SELECT vertex, dist, bound FROM labels, b WHERE dist < bound"""
+)
+def sssp_budgeted(spark, sf_dir):
+    bound, found = P.budgeted(T.both_ways(T.nation_pairs(spark, sf_dir)), _source(spark), BUDGET)
+    return found.withColumn("bound", F.lit(bound).cast("long"))
+
+
+@query(
+    f"""WITH {_sssp_sql()}, near AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY dist, vertex) AS n FROM labels) WHERE n <= 9), b AS (SELECT max(dist) AS bound FROM near)
+SELECT vertex, dist, bound FROM labels, b WHERE dist < bound"""
+)
+def bmssp_level(spark, sf_dir):
+    """Level 2 with k = 2 and t = 1: a budget of 8."""
+    bound, found = P.bmssp(T.both_ways(T.nation_pairs(spark, sf_dir)), 2, _source(spark), 2, 1)
+    return found.withColumn("bound", F.lit(bound).cast("long"))
+
+
+@query()
+def sssp_trade(spark, sf_dir):
+    return P.distances(T.both_ways(T.trade_pairs(spark, sf_dir)), spark.createDataFrame([(2, 0)], "vertex long, dist long"))
+
+
+@query(
+    f"""WITH {TRADE}, q AS (SELECT lo AS key, min(w) AS value FROM trade_pairs GROUP BY lo), n AS (SELECT *, row_number() OVER (ORDER BY value, key) AS i FROM q)
+SELECT key, value, (SELECT min(value) FROM n WHERE i > {PULL}) AS boundary FROM n WHERE i <= {PULL}"""
+)
+def frontier_pull(spark, sf_dir):
+    queue = P.PullQueue(spark, PULL, 2**62)
+    queue.insert(T.trade_pairs(spark, sf_dir).select(F.col("lo").alias("key"), F.col("w").alias("value")))
+    boundary, rows = queue.pull()
+    return rows.withColumn("boundary", F.lit(boundary).cast("long"))
+
+
+@query()
+def pivots(spark, sf_dir):
+    sources = spark.createDataFrame([(k, 0) for k in range(4)], "vertex long, dist long")
+    return P.pivots(T.both_ways(T.nation_pairs(spark, sf_dir)), sources, 4, BOUND)
+
+
+def _samples(spark, sf_dir):
+    """Event values as timing samples: of a size by user, of an algorithm by type."""
+    size = F.concat(F.lit("size"), F.pmod("user_id", F.lit(3)))
+    algo = F.when(F.col("event_type") == F.lit("click"), "boruvka").when(F.col("event_type") == F.lit("view"), "bms").otherwise(F.col("event_type"))
+    return T.table(spark, sf_dir, "events").select(size.alias("tag"), F.lit(1000).cast("long").alias("n"), F.lit(5000).cast("long").alias("m"), algo.alias("algo"), F.col("value").alias("ms"))
+
+
+SAMPLES = "samples AS (SELECT 'size' || (user_id % 3) AS tag, CASE event_type WHEN 'click' THEN 'boruvka' WHEN 'view' THEN 'bms' ELSE event_type END AS algo, value AS ms FROM events)"
+STATS = "stats AS (SELECT tag, algo, count(ms) AS trials, avg(ms) AS mean_ms, min(ms) AS min_ms, max(ms) AS max_ms, coalesce(stddev_samp(ms), 0) AS sigma_ms FROM samples GROUP BY tag, algo)"
+
+
+@query(f"WITH {SAMPLES}, {STATS} SELECT tag, algo, trials, round(mean_ms, 6) AS mean_ms, min_ms, max_ms, round(sigma_ms, 6) AS sigma_ms, round(CASE algo WHEN 'bms' THEN 1000 * log2(1000) ^ (2.0 / 3) ELSE 5000 * log2(1000) END / mean_ms, 6) AS t_hat FROM stats")
+def bench_stats(spark, sf_dir):
+    stats = bench.timing_stats(_samples(spark, sf_dir), ("tag", "n", "m", "algo"))
+    hat = bench.t_hat(F.col("mean_ms"), F.col("n"), F.col("m"), F.col("algo"))
+    return stats.select("tag", "algo", "trials", F.round("mean_ms", 6).alias("mean_ms"), "min_ms", "max_ms", F.round("sigma_ms", 6).alias("sigma_ms"), F.round(hat, 6).alias("t_hat"))
+
+
+@query(
+    f"""WITH {SAMPLES}, {STATS}, b AS (SELECT *, max(mean_ms) FILTER (algo = 'boruvka') OVER (PARTITION BY tag) AS b1, max(mean_ms) FILTER (algo = 'bms') OVER (PARTITION BY tag) AS b2 FROM stats)
+SELECT tag, algo, round(CASE WHEN algo <> 'boruvka' THEN b1 / mean_ms END, 6) AS vs_boruvka, round(CASE WHEN algo <> 'bms' THEN b2 / mean_ms END, 6) AS vs_bms FROM b"""
+)
+def bench_speedup(spark, sf_dir):
+    return bench.speedups(bench.timing_stats(_samples(spark, sf_dir))).select("tag", "algo", F.round("vs_boruvka", 6).alias("vs_boruvka"), F.round("vs_bms", 6).alias("vs_bms"))
+
+
+@query(f"WITH {SAMPLES} SELECT tag, max(ms) AS slowest_ms, CAST(greatest(3, least(60, floor(30000.0 / 5 / max(ms)))) AS INTEGER) AS trials FROM samples GROUP BY tag")
+def bench_trials(spark, sf_dir):
+    slow = bench.slowest(_samples(spark, sf_dir))
+    return slow.select("tag", "slowest_ms", bench.trials(F.col("slowest_ms"), 5, 30_000).alias("trials"))
+
+
+@query("SELECT 'size' || (user_id % 3) AS tag, count(DISTINCT event_type) = 1 AND count(event_type) = count(*) AS agree FROM events GROUP BY 1")
+def bench_agreement(spark, sf_dir):
+    rows = T.table(spark, sf_dir, "events").select(F.concat(F.lit("size"), F.pmod("user_id", F.lit(3))).alias("tag"), F.col("event_type").alias("total"))
+    return M.agreement(rows)
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props) AND json_extract_string(props, '$.k') IS NOT NULL")
+def json_trace_parse(spark, sf_dir):
+    events = T.table(spark, sf_dir, "events").select("event_id", "props")
+    parsed = events.select("event_id", F.from_json("props", "k long").alias("j"))
+    return parsed.where("j.k is not null").select("event_id", "j.k")
+
+
+@query()
+def generated_graph(spark, sf_dir):
+    from grove.sources.generator import random_graph
+
+    return random_graph(spark, 1000, 5000, connected=True)
+
+
+@query()
+def forest_text(spark, sf_dir):
+    from grove.sources.sinks import forest_lines
+
+    return forest_lines(M.minimum_spanning_forest(T.as_edges(T.nation_pairs(spark, sf_dir))))
+
+

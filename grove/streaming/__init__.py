@@ -1,0 +1 @@
+"""Empty on purpose: every capability here is a batch one."""
