@@ -5,12 +5,13 @@ cluster, so that clusters stay balanced; a graph joins each centroid to its near
 so that every centroid can be reached. Both live in memory (MAX_LISTS centroids at most, a proven bound).
 
 Index: every vector is posted to its nearest centroid and, if it lies on a boundary, to up to REPLICAS - 1 further ones
-whose distance is within BOUNDARY of the least. Lists of over LIST_ROWS rows are dealt to parts by hash of vec_id.
+whose distance is within BOUNDARY of the least. Lists that follow one another share a shelf of up to SHELF_ROWS rows; a
+list that is larger has a shelf of its own, dealt to parts by hash of vec_id.
 
 Search: a query walks the graph from its entries, always into centroids whose distance is within REACH of the best found;
 those are its lists (pruned by that distance ratio), and as many more of the nearest as hold MIN_ROWS vectors. Queries meet
-list parts by key, each part gives its best k of every query, and the best k of those are ranked. Distances are computed
-from the original vectors in double precision.
+the shelves of their lists by key, search those lists there, and each shelf gives its best k of every query; the best k of
+those are ranked. Distances are computed from the original vectors in double precision.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; nor do those whose length isn't the most
 common one. Rows without vec_id take no part. Where a vec_id repeats, its nearest row counts. A table with no more than k
@@ -28,7 +29,7 @@ from .common import batches, cut, record_batch
 SAMPLE = 20_000
 MAX_LISTS = 4096
 LIST_TARGET = 128
-LIST_ROWS = 4096
+SHELF_ROWS = 16_384
 REPLICAS = 3
 BOUNDARY = 1.03
 REACH = 1.2
@@ -125,9 +126,22 @@ class CentroidGraph:
         return np.nonzero(keep)
 
 
+def shelves(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each list's shelf, and how many parts each shelf has."""
+    shelf_of, parts, filled = np.zeros(len(sizes), np.int64), [1], 0
+    for k, n in enumerate(sizes.tolist()):
+        if filled and filled + n > SHELF_ROWS:
+            parts.append(1)
+            filled = 0
+        shelf_of[k] = len(parts) - 1
+        filled += n
+        parts[-1] = max(1, -(-filled // SHELF_ROWS))
+    return shelf_of, np.array(parts, np.int64)
+
+
 def usable(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """vec_id and v (array<double>) of the rows that take part."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    """vec_id and v (array of float or double, as it was) of the rows that take part."""
+    v = F.col(vector) if dict(rows.dtypes)[vector] == "array<float>" else F.col(vector).cast("array<double>")
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(~bad & F.exists("v", lambda x: x != 0))
@@ -161,7 +175,8 @@ def search(embeddings: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id",
     if not n:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     graph = fit(rows, n)
-    posted_ddl = "list int, vec_id long, v array<double>"
+    kind = dict(rows.dtypes)["v"]
+    posted_ddl = f"list int, vec_id long, v {kind}"
 
     def post(parts):
         schema = batches(posted_ddl)
@@ -175,50 +190,70 @@ def search(embeddings: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id",
     sizes = np.zeros(len(graph.centroids), np.int64)
     for r in posted.groupBy("list").count().collect():  # MAX_LISTS rows at most
         sizes[r["list"]] = r["count"]
-    parts_of = np.maximum(1, -(-sizes // LIST_ROWS))
+    shelf_of, parts_of = shelves(sizes)
     least = MIN_ROWS * REPLICAS
+    shelved_ddl, asked_ddl = f"shelf int, part int, {posted_ddl}", f"shelf int, part int, query_id long, lists array<int>, q {kind}"
+
+    def shelve(parts):
+        schema = batches(shelved_ddl)
+        for part in parts:
+            shelf = shelf_of[part.column(0).to_numpy()]
+            mixed = part.column(1).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            yield record_batch(schema, [shelf.astype(np.int32), (mixed.astype(np.int64) % parts_of[shelf]).astype(np.int32), *part.columns])
 
     def ask(parts):
-        schema = batches("list int, part int, query_id long, q array<double>")
+        schema = batches(asked_ddl)
         for part in parts:
             for at in range(0, part.num_rows, 256):
                 own = part.slice(at, 256)
                 row, where = graph.lists(stacked(own.column(1)), sizes, least)
-                times = parts_of[where]
-                row, where = np.repeat(row, times), np.repeat(where, times)
-                number = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                yield record_batch(schema, [where.astype(np.int32), number.astype(np.int32), own.column(0).take(row), own.column(1).take(row)])
-
-    asked = rows.where(is_query).mapInArrow(ask, "list int, part int, query_id long, q array<double>")
-    parts_column = F.element_at(F.array(*[F.lit(int(x)) for x in parts_of]), F.col("list") + 1) if parts_of.max() > 1 and len(parts_of) <= 256 else None
-    if parts_column is None and parts_of.max() > 1:
-        many = {int(i): int(x) for i, x in enumerate(parts_of) if x > 1}
-        parts_column = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("list")), F.lit(1))
-    part = F.pmod(F.xxhash64("vec_id"), parts_column).cast("int") if parts_column is not None else F.lit(0)
+                key = row * len(parts_of) + shelf_of[where]  # rows and lists are in order, and shelves follow their lists
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+                wanted = np.split(where.astype(np.int32), first[1:])
+                row, shelf = row[first], shelf_of[where[first]]
+                times = parts_of[shelf]
+                number = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                again = np.repeat(np.arange(len(row)), times)
+                row = row[again]
+                yield record_batch(schema, [shelf[again].astype(np.int32), number.astype(np.int32), own.column(0).take(row), [wanted[k] for k in again.tolist()], own.column(1).take(row)])
 
     def meet(key, queries, vectors):
         import pyarrow as pa
 
         out: list = [[], [], []]
         if queries.num_rows and vectors.num_rows:
-            ids = vectors["vec_id"].to_numpy()
+            vectors = vectors.sort_by([("list", "ascending"), ("vec_id", "ascending")])
+            lists, ids = vectors["list"].to_numpy(), vectors["vec_id"].to_numpy()
             x = stacked(vectors["v"].combine_chunks())
-            qid, q = queries["query_id"].to_numpy(), stacked(queries["q"].combine_chunks())
-            for at in range(0, len(qid), 64):
-                rough = squared(q[at : at + 64], x)
-                for i, row in enumerate(rough):
-                    row[ids == qid[at + i]] = np.inf
-                    most = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-                    near = np.flatnonzero(row <= most * (1 + 1e-9) + 1e-9) if np.isfinite(most) else np.flatnonzero(np.isfinite(row))
-                    exact = np.sqrt(((x[near] - q[at + i]) ** 2).sum(1))
-                    best = np.lexsort((ids[near], exact))[: 2 * k]
-                    out[0].append(np.full(len(best), qid[at + i]))
+            norms = (x * x).sum(1)
+            for at in range(0, queries.num_rows, 64):
+                some = queries.slice(at, 64)
+                qid, q = some["query_id"].to_numpy(), stacked(some["q"].combine_chunks())
+                asked_lists = some["lists"].to_pylist()
+                for i in range(len(qid)):
+                    ends = np.searchsorted(lists, asked_lists[i]), np.searchsorted(lists, asked_lists[i], "right")
+                    rows = np.concatenate([np.arange(a, b) for a, b in zip(*ends, strict=True)])
+                    rows = rows[ids[rows] != qid[i]]
+                    if not len(rows):
+                        continue
+                    rough = norms[rows] - 2 * (x[rows] @ q[i])
+                    by_id = np.argsort(ids[rows], kind="stable")  # a row may be there more than once: its nearest counts
+                    own = ids[rows][by_id]
+                    least_of = np.minimum.reduceat(rough[by_id], np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])))
+                    most = np.partition(least_of, k - 1)[k - 1] if len(least_of) > k else np.inf
+                    slack = 1e-9 * (1 + abs(most) + (q[i] * q[i]).sum()) if np.isfinite(most) else 0
+                    near = rows[rough <= most + slack]
+                    exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
+                    order = np.lexsort((ids[near], exact))
+                    best = order[np.sort(np.unique(ids[near][order], return_index=True)[1])[:k]]
+                    out[0].append(np.full(len(best), qid[i]))
                     out[1].append(ids[near][best])
                     out[2].append(exact[best])
         made = [np.concatenate(c) if c else [] for c in out]
         return pa.Table.from_batches([record_batch(batches(NEAREST), made)])
 
-    near = asked.groupBy("list", "part").cogroup(posted.withColumn("part", part).groupBy("list", "part")).applyInArrow(meet, NEAREST)
+    asked = rows.where(is_query).mapInArrow(ask, asked_ddl).groupBy("shelf", "part")
+    near = asked.cogroup(posted.mapInArrow(shelve, shelved_ddl).groupBy("shelf", "part")).applyInArrow(meet, NEAREST)
     near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # replicas
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -50,7 +50,7 @@ def test_odd_rows(spark):
 
 
 def test_hot_vector_is_dealt_over_parts(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LIST_ROWS", 100)
+    monkeypatch.setattr(ann, "SHELF_ROWS", 100)
     rng = np.random.default_rng(4)
     x = np.concatenate([np.ones((900, 8)), rng.normal(size=(700, 8))])
     docs = vectors(spark, x)
