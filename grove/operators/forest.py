@@ -21,7 +21,7 @@ from grove.operators.edges import activation_steps, cheapest_outgoing, contract,
 from grove.plans.storage import cut
 
 #: Edges (40 bytes each) that one task may finish.
-FINISH_EDGES = 1_000_000
+FINISH_EDGES = 4_000_000
 #: Components whose joining one task may work out.
 HOOK_ROWS = 500_000
 
@@ -210,24 +210,37 @@ def round_summary(ranks: DataFrame, n: int, m: int) -> DataFrame:
 EDGE = "eid long, u long, v long, w long"
 
 
-def _kruskal(eid, u, v, w) -> np.ndarray:
-    """Rows of the forest of one table of edges, in the one order."""
+def forest_rows(eid, u, v, w) -> np.ndarray:
+    """Rows of the forest of one table of edges, in the one order: rounds over whole arrays, edges sorted once."""
     order = np.lexsort((eid, np.maximum(u, v), np.minimum(u, v), w))
     names, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = flat[: len(u)][order].tolist(), flat[len(u) :][order].tolist()
-    parent, taken, left = list(range(len(names))), [], len(names) - 1
-    for row, x, y in zip(order.tolist(), a, b, strict=True):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            taken.append(row)
-            left -= 1
-            if not left:
+    a, b = flat[: len(u)][order], flat[len(u) :][order]
+    edge = np.arange(len(order))
+    taken = []
+    while len(edge):
+        best = np.full(len(names), -1)
+        # written from the last to the first, the lightest edge stays
+        best[a[::-1]] = edge[::-1]
+        of_b = np.full(len(names), -1)
+        of_b[b[::-1]] = edge[::-1]
+        best = np.where((best < 0) | (of_b >= 0) & (of_b < best), of_b, best)
+        live = np.flatnonzero(best >= 0)
+        chosen = np.unique(best[live])
+        taken.append(chosen)
+        at = np.searchsorted(edge, best[live])
+        parent = np.arange(len(names))
+        parent[live] = np.where(a[at] == live, b[at], a[at])
+        mutual = live[(parent[parent[live]] == live) & (live < parent[live])]
+        parent[mutual] = mutual
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
                 break
-    return np.array(taken, np.int64)
+            parent = up
+        a, b = parent[a], parent[b]
+        stay = a != b
+        a, b, edge = a[stay], b[stay], edge[stay]
+    return np.sort(order[np.concatenate(taken)]) if taken else np.zeros(0, np.int64)
 
 
 def forest_of_partitions(edges: DataFrame, most: int = FINISH_EDGES) -> DataFrame:
@@ -241,7 +254,7 @@ def forest_of_partitions(edges: DataFrame, most: int = FINISH_EDGES) -> DataFram
 
         def reduced():
             columns = [np.concatenate([h[k] for h in held]) for k in range(4)]
-            rows = _kruskal(*columns)
+            rows = forest_rows(*columns)
             return [c[rows] for c in columns]
 
         for part in parts:
