@@ -51,12 +51,15 @@ def _hung(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(least.select("u", F.least("u", "m").alias("m")), "u")
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", reduce_first: bool = True) -> DataFrame:
-    """node and component (the smallest node that it reaches) of every node of an edge; nulls are dropped, self-loops are nodes."""
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", reduce_first: bool = True, stored: bool = False) -> DataFrame:
+    """node and component (the smallest node that it reaches) of every node of an edge; nulls are dropped, self-loops are nodes.
+
+    stored says that edges are a stored table, cheap to count first; a small one is then kept in few files.
+    """
     pairs = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u is not null and v is not null")
     loops = pairs.where("u = v").select("u")
     now = (forest_of_partitions(pairs.where("u <> v")) if reduce_first else pairs.where("u <> v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now, before = cut(now), None
+    now, before = cut(now, pairs.count() if stored else None), None
     if not reduce_first or loops.limit(1).count():
         nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     else:
@@ -72,7 +75,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", reduce_fi
         large = _hung(now, both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _hung(large, large)
         small = small.select("v", "m").union(small.select("u", "m").distinct()).toDF("u", "v").where("u <> v").distinct()
-        now = cut(small)
+        now = cut(small, 2 * state[0])
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     found = stars.unionByName(roots)

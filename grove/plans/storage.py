@@ -17,7 +17,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, stored: lineage ends here, and no executor's loss takes them away."""
-    shared_dir(df.sparkSession)
+#: Rows that are worth a file of their own.
+FILE_ROWS = 100_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The same rows, stored: lineage ends here, and no executor's loss takes them away.
+
+    rows, where it is known, bounds the row count: a table of few rows is then written as few files.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    if rows is not None and rows // FILE_ROWS + 1 < int(spark.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(rows // FILE_ROWS + 1)
     return df.checkpoint(eager=True)
