@@ -26,7 +26,7 @@ TOKENIZER = "byte_bpe_50k.json"
 CONTEXT = 2048
 END = 1
 #: Rows of one length that are ranked together, about.
-RANKED_ROWS = 5_000
+RANKED_ROWS = 500
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
