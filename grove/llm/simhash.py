@@ -155,7 +155,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> Data
         keyed = keyed.select("a", "key", "fp", table.alias("x"))
         # the first family's key is the masked bits themselves; further ones add to the group they divide
         key = F.col("x.masked") if family == 0 else F.xxhash64("a", "key", "x.t", "x.masked")
-        made = cut(_links(keyed.select(F.col("x.t").alias("a"), key.alias("key"), "fp"), radius, group))
+        # few of the rows give any; an exchange of those is cheaper than a file from every task of the comparison
+        files = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
+        made = cut(_links(keyed.select(F.col("x.t").alias("a"), key.alias("key"), "fp"), radius, group).repartition(files))
         own = made.where("fp is null").select("u", "v")
         found = own if found is None else found.unionByName(own)
         keyed = made.where("fp is not null").select("a", "key", "fp")
@@ -168,7 +170,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> Data
 def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of every row of fps, which is read more than once and should be a stored table."""
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    joined = connected_components(links(groups.select("fp"), radius)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    joined = connected_components(links(groups.select("fp"), radius), stored=True).select(F.col("node").alias("fp"), F.col("component").alias("root"))
     rooted = groups.join(joined, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
