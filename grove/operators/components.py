@@ -1,7 +1,8 @@
 """Connected components of an undirected edge table, by alternating large-star and small-star rounds.
 
-Every round is one aggregate and one equi-join over the edges; no vertex's neighbours are gathered into one row, and a
-vertex with very many edges is an ordinary skewed join key. Rounds are stored in the shared checkpoint folder, so lineage
+Every round is one aggregate and one equi-join over the edges; no vertex's neighbours are gathered into one row. A vertex
+with very many edges is a skewed key: the aggregate combines it before the exchange, and beyond HUB_EDGES edges its result is
+stored before the join, so that both sides of the join are plain exchanges, which adaptive execution can split. Rounds are stored in the shared checkpoint folder, so lineage
 stays short and a lost executor costs one round at most. Before the first round each partition of the edges is replaced by
 a spanning forest of itself, which keeps the components and shortens all paths.
 """
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from grove.plans.storage import cut
 
 
+#: Edges (16 bytes each) up to which one task may meet all edges of one vertex.
+HUB_EDGES = 1_000_000
+
+
 def forest_of_partitions(edges: DataFrame) -> DataFrame:
     """Edges (u, v) to edges (vertex, smallest vertex of its part), partition by partition."""
 
@@ -46,8 +51,11 @@ def forest_of_partitions(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(run, "u long, v long")
 
 
-def _hung(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def _hung(pairs: DataFrame, most: int) -> DataFrame:
+    """pairs and m, the least of u and its neighbours; pairs has most rows at most."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    if most > HUB_EDGES:
+        least = cut(least)
     return pairs.join(least.select("u", F.least("u", "m").alias("m")), "u")
 
 
@@ -72,8 +80,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", reduce_fi
         if state[0] == 0:
             break
         both = now.union(now.select("v", "u"))
-        large = _hung(now, both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _hung(large, large)
+        large = _hung(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _hung(large, 2 * state[0])
         small = small.select("v", "m").union(small.select("u", "m").distinct()).toDF("u", "v").where("u <> v").distinct()
         now = cut(small, 2 * state[0])
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
