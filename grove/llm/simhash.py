@@ -29,6 +29,7 @@ WIDTH = 3
 RADIUS = 3
 SEED = 42
 GROUP = 1024
+HOT_SHARE = 0.001
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -168,13 +169,21 @@ def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> Data
 
 
 def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id of every row of fps, which is read more than once and should be a stored table."""
-    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    """doc_id, fp and component_id of every row of fps, which is read more than once and should be a stored table.
+
+    A fingerprint of more than HOT_SHARE of all rows doesn't send its rows to one task: there are 1 / HOT_SHARE such
+    fingerprints at most, so their names are broadcast. The names of components are stored before they are joined, so that
+    a component of very many fingerprints is a skewed key of plain exchanges, which adaptive execution can split.
+    """
+    n = fps.count()
+    groups = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), n)
     joined = connected_components(links(groups.select("fp"), radius), stored=True).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = groups.join(joined, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = groups.join(joined, "fp", "left").select("fp", "rep", "rows", F.coalesce("root", "fp").alias("root"))
+    least = cut(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), n)
+    named = cut(rooted.join(least, "root").select("fp", "rows", "component_id"), n)
+    hot = F.broadcast(named.where(F.col("rows") > n * HOT_SHARE).drop("rows"))
+    rest = fps.join(hot.select("fp"), "fp", "left_anti").join(named.drop("rows"), "fp")
+    return fps.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
