@@ -102,10 +102,39 @@ def _composed(components: DataFrame | None, names: DataFrame) -> DataFrame:
 
 
 class Rounds:
-    """Edges over components that shrink round by round."""
+    """Edges over components that shrink round by round; by tables, until finish edges or fewer are left for one task."""
 
-    def __init__(self, edges: DataFrame, n: int):
-        self.edges, self.components, self.live, self.chosen, self.trace = edges, None, n, [], []
+    def __init__(self, edges: DataFrame, n: int, finish: int = FINISH_EDGES):
+        self.edges, self.components, self.live, self.chosen, self.trace, self.finish = edges, None, n, [], [], finish
+
+    def _record(self, chosen: DataFrame, names: DataFrame, taken: list[int]) -> None:
+        """Keeps the chosen ranks, the components' new names and how many edges each of these rounds took."""
+        self.chosen.append(chosen)
+        parts = int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.components = cut(_composed(self.components, names).coalesce(parts))  # unions would double the partitions
+        for n in taken:
+            self.trace.append((len(self.trace), self.live, self.live - n))
+            self.live -= n
+
+    def advance(self, most: int | None = None) -> bool:
+        """Up to most rounds, all without it; False if no component had an outgoing edge."""
+        done = 0
+        while self.live > 1 and (most is None or done < most):
+            if self.edges.limit(self.finish + 1).count() <= self.finish:
+                return self._in_one_task(None if most is None else most - done) or done > 0
+            if not self.round():
+                break
+            done += 1
+        return done > 0
+
+    def _in_one_task(self, most: int | None) -> bool:
+        made = cut(rounds_in_one_task(self.edges, most))
+        counts = made.where("kind = 0").groupBy("a").agg(F.count("*").alias("n")).orderBy("a").collect()  # a row for each round
+        if not counts:
+            return False
+        self._record(made.where("kind = 0").select(F.col("b").alias("rank")), made.where("kind = 1").select(F.col("a").alias("vertex"), F.col("b").alias("comp")), [r["n"] for r in counts])
+        self.edges = made.where("kind = 2").select(F.col("a").alias("cu"), F.col("b").alias("cv"), F.col("c").alias("rank"))
+        return True
 
     def round(self) -> bool:
         """One round; False if no component has an outgoing edge."""
@@ -114,24 +143,19 @@ class Rounds:
         taken = chosen.count()
         if not taken:
             return False
-        self.chosen.append(chosen)
-        parts = int(self.edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.components = cut(_composed(self.components, names).coalesce(parts))  # unions would double the partitions
         renamed = relabel(self.edges.select(F.col("cu").alias("u"), F.col("cv").alias("v"), "rank"), names)
+        self._record(chosen, names, [taken])
         self.edges = cut(lightest_per_pair(renamed))
-        self.trace.append((len(self.trace), self.live, self.live - taken))
-        self.live -= taken
         return True
 
     def ranks(self, spark) -> DataFrame:
         return _union(self.chosen) if self.chosen else spark.createDataFrame([], "rank long")
 
 
-def boruvka_rounds(ranks: DataFrame, n: int) -> Rounds:
+def boruvka_rounds(ranks: DataFrame, n: int, finish: int = FINISH_EDGES) -> Rounds:
     """All rounds over ranked edges (u, v, rank)."""
-    state = Rounds(lightest_per_pair(ranks.select(F.col("u").alias("cu"), F.col("v").alias("cv"), "rank")), n)
-    while state.live > 1 and state.round():
-        pass
+    state = Rounds(cut(lightest_per_pair(ranks.select(F.col("u").alias("cu"), F.col("v").alias("cv"), "rank"))), n, finish)
+    state.advance()
     return state
 
 
@@ -152,7 +176,7 @@ def shrinkage(trace: DataFrame) -> DataFrame:
     return trace.agg(F.count("*").alias("n_rows"), over(F.col("xi") > 1).alias("xi_geomean"), over((F.col("xi") > 1) & ~F.col("is_final")).alias("xi_reference"))
 
 
-def superstep_forest(ranks: DataFrame, n: int, m: int | None = None, t: int | None = None, steps: int | None = None) -> tuple[DataFrame, list[tuple]]:
+def superstep_forest(ranks: DataFrame, n: int, m: int | None = None, t: int | None = None, steps: int | None = None, finish: int = FINISH_EDGES) -> tuple[DataFrame, list[tuple]]:
     """The forest's ranks, and a row of STEPS for each step (rounds after the last step are further rows, with t = 0)."""
     spark = ranks.sparkSession
     own_t, own_steps = parameters(n)
@@ -160,7 +184,7 @@ def superstep_forest(ranks: DataFrame, n: int, m: int | None = None, t: int | No
     ranks = cut(ranks.select("u", "v", "rank"))
     m = ranks.count() if m is None else m
     stepped = activation_steps(ranks, m, steps)
-    state = Rounds(spark.createDataFrame([], "cu long, cv long, rank long"), n)
+    state = Rounds(spark.createDataFrame([], "cu long, cv long, rank long"), n, finish)
     rows: list[list] = []
     for step in range(steps):
         if state.live <= 1:
@@ -171,13 +195,11 @@ def superstep_forest(ranks: DataFrame, n: int, m: int | None = None, t: int | No
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         state.edges = cut(state.edges.unionByName(drop_internal(new).select("cu", "cv", "rank")).coalesce(parts))
         carried = state.edges.count()
-        for _ in range(t):
-            if state.live <= 1 or not state.round():
-                break
+        state.advance(t)
         rows.append([step, before, state.live, carried, t, before / state.live, False])
     while state.live > 1:  # what t rounds of the last step left
         before, carried = state.live, state.edges.count()
-        if not carried or not state.round():
+        if not carried or not state.advance(1):
             break
         rows.append([len(rows), before, state.live, carried, 0, before / state.live, False])
     if rows:
@@ -210,25 +232,26 @@ def round_summary(ranks: DataFrame, n: int, m: int) -> DataFrame:
 EDGE = "eid long, u long, v long, w long"
 
 
-def forest_rows(eid, u, v, w) -> np.ndarray:
-    """Rows of the forest of one table of edges, in the one order: rounds over whole arrays, edges sorted once."""
-    order = np.lexsort((eid, np.maximum(u, v), np.minimum(u, v), w))
-    names, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = flat[: len(u)][order], flat[len(u) :][order]
-    edge = np.arange(len(order))
-    taken = []
-    while len(edge):
-        best = np.full(len(names), -1)
+def array_rounds(a: np.ndarray, b: np.ndarray, vertices: int, most: int | None = None) -> tuple:
+    """Up to most rounds over whole arrays of edges in order, whose ends a and b are below vertices.
+
+    Gives the places of the edges that each round chooses, every vertex's component, and the place and ends of each edge that
+    is left.
+    """
+    comp, taken = np.arange(vertices), []
+    edge = np.flatnonzero(a != b)
+    a, b = a[edge], b[edge]
+    while len(edge) and (most is None or len(taken) < most):
+        best = np.full(vertices, -1)
         # written from the last to the first, the lightest edge stays
         best[a[::-1]] = edge[::-1]
-        of_b = np.full(len(names), -1)
+        of_b = np.full(vertices, -1)
         of_b[b[::-1]] = edge[::-1]
         best = np.where((best < 0) | (of_b >= 0) & (of_b < best), of_b, best)
         live = np.flatnonzero(best >= 0)
-        chosen = np.unique(best[live])
-        taken.append(chosen)
+        taken.append(np.unique(best[live]))
         at = np.searchsorted(edge, best[live])
-        parent = np.arange(len(names))
+        parent = np.arange(vertices)
         parent[live] = np.where(a[at] == live, b[at], a[at])
         mutual = live[(parent[parent[live]] == live) & (live < parent[live])]
         parent[mutual] = mutual
@@ -237,12 +260,54 @@ def forest_rows(eid, u, v, w) -> np.ndarray:
             if (up == parent).all():
                 break
             parent = up
-        a, b = parent[a], parent[b]
+        comp, a, b = parent[comp], parent[a], parent[b]
         stay = a != b
         a, b, edge = a[stay], b[stay], edge[stay]
+    return taken, comp, edge, a, b
+
+
+def forest_rows(eid, u, v, w) -> np.ndarray:
+    """Rows of the forest of one table of edges, in the one order: rounds over whole arrays, edges sorted once."""
+    order = np.lexsort((eid, np.maximum(u, v), np.minimum(u, v), w))
+    names, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    taken = array_rounds(flat[: len(u)][order], flat[len(u) :][order], len(names))[0]
     return np.sort(order[np.concatenate(taken)]) if taken else np.zeros(0, np.int64)
 
 
+def rounds_in_one_task(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Up to most rounds over few edges (cu, cv, rank). Rows of kind 0: round and a rank that it chooses; of kind 1: vertex
+    and component; of kind 2: the edges between components that are left, the lightest of each pair."""
+
+    def run(parts):
+        import pyarrow as pa
+
+        held = [[part.column(k).to_numpy() for k in range(3)] for part in parts if part.num_rows]
+        if not held:
+            return
+        u, v, rank = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(rank)
+        rank = rank[order]
+        names, flat = np.unique(np.concatenate([u[order], v[order]]), return_inverse=True)
+        taken, comp, edge, a, b = array_rounds(flat[: len(rank)], flat[len(rank) :], len(names), most)
+        lo, hi = np.minimum(a, b), np.maximum(a, b)
+        first = np.unique(lo * len(names) + hi, return_index=True)[1]  # edges are in order: a pair's first is its lightest
+        none = np.zeros(0, np.int64)
+        of_round = np.repeat(np.arange(len(taken)), [len(x) for x in taken]) if taken else none
+        made = (
+            (of_round, rank[np.concatenate(taken)] if taken else none, None),
+            (names, names[comp], None),
+            (names[lo[first]], names[hi[first]], rank[edge[first]]),
+        )
+        for kind, (x, y, z) in enumerate(made):
+            for at in range(0, len(x), 500_000):
+                own = x[at : at + 500_000]
+                last = pa.nulls(len(own), pa.int64()) if z is None else pa.array(z[at : at + 500_000], pa.int64())
+                columns = [pa.array(np.full(len(own), kind, np.int32)), pa.array(own, pa.int64()), pa.array(y[at : at + 500_000], pa.int64()), last]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b", "c"])
+
+    return edges.select("cu", "cv", "rank").coalesce(1).mapInArrow(run, "kind int, a long, b long, c long")
+
+
 def forest_of_partitions(edges: DataFrame, most: int = FINISH_EDGES) -> DataFrame:
     """The edges of each partition's own forest; a partition of over most edges is taken in runs, each joined with the forest so far."""
 

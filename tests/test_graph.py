@@ -71,7 +71,34 @@ def test_random_graphs_and_small_limits(spark, monkeypatch):
     assert got(M.minimum_spanning_forest(edges, finish=20)) == want  # by rounds until few are left
     monkeypatch.setattr(M, "HOOK_ROWS", 3)  # pointers doubled over tables
     ranks = E.ranked(edges)
-    assert got(ranks.join(M.boruvka_rounds(ranks, 120).ranks(spark), "rank", "left_semi")) == want
+    assert got(ranks.join(M.boruvka_rounds(ranks, 120, finish=0).ranks(spark), "rank", "left_semi")) == want
+
+
+def test_rounds_by_tables_and_in_one_task_are_the_same(spark):
+    rows = random_rows(2, 90, 200)
+    ranks = E.ranked(table(spark, rows)).cache()
+    n = len({x for u, v, _ in rows for x in (u, v)})
+    whole, some, none = (M.boruvka_rounds(ranks, n, finish) for finish in (10_000, 40, 0))
+    assert whole.trace == some.trace == none.trace and len(none.trace) > 2
+    chosen = [sorted(r.rank for r in state.ranks(spark).collect()) for state in (whole, some, none)]
+    assert chosen[0] == chosen[1] == chosen[2]
+    component = lambda state: {r.vertex: r.comp for r in state.components.collect()}
+    parts = [sorted(sorted(v for v, c in of.items() if c == root) for root in set(of.values())) for of in map(component, (whole, some, none))]
+    assert parts[0] == parts[1] == parts[2]
+    steps = [M.superstep_forest(ranks, n, t=2, steps=3, finish=finish) for finish in (10_000, 0)]
+    assert steps[0][1] == steps[1][1]
+    assert all(sorted(r.rank for r in found.collect()) == chosen[0] for found, _ in steps)
+    ranks.unpersist()
+
+
+def test_components_of_hubs(spark, monkeypatch):
+    from grove.operators import components as C
+
+    monkeypatch.setattr(C, "HUB_EDGES", 0)
+    rows = [(0, k) for k in range(1, 60)] + [(k, k + 1) for k in range(100, 120)] + [(200, 200)]
+    edges = spark.createDataFrame(rows, "u long, v long").repartition(4)
+    got = {r.node: r.component for r in C.connected_components(edges).collect()}
+    assert got == {k: 0 for k in range(60)} | {k: 100 for k in range(100, 121)} | {200: 200}
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
