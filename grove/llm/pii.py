@@ -1,29 +1,33 @@
 """Operator 1, information-theoretic sanitisation, in DataFrame functions alone.
 
-Protected entities are the values that the base patterns find (e-mail and IP addresses, card and phone numbers). Terms that
-stand within REACH characters of an entity are measured against the corpus: with document counts n(e, t), n(e), n(t) and N,
+Protected entities are the values that the base patterns find (e-mail and IP addresses, card and phone numbers). All terms
+of the texts that hold an entity, outside base spans, are measured against the corpus: with counts n(e, t), n(e), n(t) and N,
 
     PMI(e; t) = log2(N n(e, t) / (n(e) n(t)))        IC(e) = log2(N / n(e))        disclosure = PMI / IC  (at most 1)
 
-A term that stood by the entity in MIN_CONTEXTS different contexts is generalised in the entity's documents from a
-disclosure of GENERALISE on and removed from REMOVE on: it tells the entity nearly as well as the entity itself would.
-Copies of one context count once, so mere copying makes no term suspect.
+A term whose meeting with the entity is no chance is generalised in the entity's documents from a disclosure of GENERALISE
+on and removed from REMOVE on: it tells the entity nearly as well as the entity itself would. Chance is ruled out where a
+bound on the hypergeometric tail (Hoeffding), times the number of terms tested for the entity, is at most CHANCE; there is no
+least number of texts, so in a large corpus a single short text may do, and in a small one it may not. Counts are of
+different texts: copies count once.
 
-The base spans always stay; term spans come besides. Null texts are empty texts. Rows that repeat a doc_id and its text
-count as one document in the statistics and get a result row each. Ties don't arise: spans have a full order, start and
+The base spans always stay; term spans come besides. Null texts are empty texts. Rows that repeat a text
+count as one in the statistics and get a result row each. Ties don't arise: spans have a full order, start and
 then kind. Very long texts are searched whole. An empty table gives no rows. Of the input only doc_id and text are read;
 sanitise() returns all its columns, and names its own helper columns so that they clash with nothing.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-REACH = 80
-MIN_CONTEXTS = 3
+#: Chance that some term of an entity passes without any tie to it.
+CHANCE = 0.01
 GENERALISE = 0.9
 REMOVE = 0.97
 #: Up to so many rows (each some tens of bytes) a table may be broadcast; beyond that it is joined by key.
@@ -89,45 +93,64 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def entities(spanned: DataFrame) -> DataFrame:
-    """_uid, entity and its context, from rows of _uid, _t and _spans; one row for each base span."""
-    one = spanned.select("_uid", "_t", F.explode("_spans").alias("s"))
-    left = F.expr(f"substring(_t, greatest(s.start - {REACH}, 0) + 1, least(s.start, {REACH}))")
-    right = F.expr(f"substring(_t, s.end + 1, {REACH})")
-    # a word that the window cuts through is not a term of it
-    left = F.when(F.col("s.start") > REACH, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-    right = F.when(F.char_length(right) == REACH, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
-    return one.select("_uid", F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("s.k") + 1), F.lower("s.m")).alias("entity"), F.concat_ws("\n", left, right).alias("context"))
-
-
-def disclosing_terms(docs: DataFrame, held: DataFrame, found: DataFrame) -> DataFrame:
-    """entity, term, disclosure and action. docs has _t; held has _uid and _t of the documents with entities, found is entities(); both stored."""
-    n = docs.count()
-    near = found.select("_uid", "entity", F.xxhash64("context").alias("c"), F.explode(_words(F.col("context"))).alias("term"))
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("c").alias("contexts"), F.count_distinct("_uid").alias("both")).where(F.col("contexts") >= MIN_CONTEXTS)
-    of_entity = found.groupBy("entity").agg(F.count_distinct("_uid").alias("n_e"))
-    ic = F.log2(F.lit(float(n)) / F.col("n_e"))
-
-    def measured(rows: DataFrame, n_t: str) -> DataFrame:
-        pmi = F.log2(F.lit(float(n)) * F.col("both") / (F.col("n_e") * F.greatest(n_t, "both")))
-        return rows.withColumn("disclosure", F.when(ic > 0, pmi / ic).otherwise(F.lit(0.0))).where(F.col("disclosure") >= GENERALISE)
-
-    # a term's documents with entities are some of its documents: what those alone rule out needs no count over the corpus
-    some = held.select(F.explode(_words(F.col("_t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_some"))
-    pairs = measured(pairs.join(of_entity, "entity").join(some, "term"), "n_some")
-    pairs = cut(pairs.select("entity", "term", "both", "n_e"))
-    wanted = cut(pairs.select("term").distinct())
-    terms = docs.select(F.explode(_words(F.col("_t"))).alias("term")).join(_small(wanted), "term", "left_semi")
-    of_term = terms.groupBy("term").agg(F.count("*").alias("n_t"))
+def _terms_outside() -> Column:
+    """The different terms of _t outside its _spans."""
+    before = "coalesce(array_max(transform(slice(_spans, 1, i), x -> x.end)), 0)"
+    pieces = f"array_join(transform(_spans, (s, i) -> substring(_t, {before} + 1, greatest(s.start - {before}, 0))), ' ')"
+    last = "coalesce(array_max(transform(_spans, x -> x.end)), 0)"
+    return _words(F.expr(f"case when size(_spans) = 0 then _t else concat({pieces}, ' ', substring(_t, {last} + 1)) end"))
+
+
+def entities(held: DataFrame) -> DataFrame:
+    """_uid, _h and entity, each once, from rows of _uid, _h and _spans."""
+    one = held.select("_uid", "_h", F.explode("_spans").alias("s"))
+    return one.select("_uid", "_h", F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("s.k") + 1), F.lower("s.m")).alias("entity")).distinct()
+
+
+def disclosing_terms(spanned: DataFrame, held: DataFrame, found: DataFrame) -> DataFrame:
+    """entity, term, disclosure and action. spanned has _t and _spans; held are its rows with entities, found is entities(held); both stored."""
+    texts = cut(spanned.groupBy(F.xxhash64("_t").alias("_h")).agg(F.count("*").alias("rows")))
+    n = float(texts.count())
+    listed = cut(held.dropDuplicates(["_h"]).select("_h", _terms_outside().alias("terms")))
+    own = found.select("_h", "entity").distinct()
+    of_entity = own.join(listed.select("_h", F.size("terms").alias("n")), "_h").groupBy("entity").agg(F.count("*").alias("n_e"), F.sum("n").alias("tested"))
+    # disclosure >= GENERALISE means n(t) <= n(e, t) (N / n(e)) ** (1 - GENERALISE), and n(e, t) <= n(e): more frequent terms
+    # need not be counted by entity
+    most = F.pow("n_e", F.lit(GENERALISE)) * F.pow(F.lit(n), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    own = cut(own.join(of_entity.where(F.col("n_e") < n), "entity").withColumn("most", most))
+    of_text = own.groupBy("_h").agg(F.max("most").alias("most"))
+    terms = listed.select("_h", F.explode("terms").alias("term"))
+    # a term's texts with entities are some of its texts: what those alone rule out needs no count over the corpus
+    some = terms.groupBy("term").agg(F.count("*").alias("n_some"))
+    terms = cut(terms.join(of_text, "_h").join(some, "term").where(F.col("n_some") <= F.col("most")).select("_h", "term"))
+    wanted = cut(terms.select("term").distinct())
+    # rows by term, aggregated before anything is exchanged, less the rows that are further copies of a text
+    rows = spanned.select(F.explode(_terms_outside()).alias("term")).groupBy("term").agg(F.count("*").alias("rows"))
+    copied = cut(texts.where(F.col("rows") > 1))
+    copies = spanned.select(F.xxhash64("_t").alias("_h"), _terms_outside().alias("terms")).join(_small(copied), "_h").dropDuplicates(["_h"])
+    further = copies.select(F.explode("terms").alias("term"), "rows").groupBy("term").agg(F.sum(F.col("rows") - 1).alias("further"))
+    counted = rows.join(wanted, "term").join(further, "term", "left")
+    of_term = counted.select("term", (F.col("rows") - F.coalesce("further", F.lit(0))).alias("n_t"))
+    pairs = terms.join(of_term, "term").join(own, "_h").where(F.col("n_t") <= F.col("most"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), *[F.max(c).alias(c) for c in ("n_e", "n_t", "tested")])
+    disclosure = F.log2(F.lit(n) * F.col("both") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.lit(n) / F.col("n_e"))
+
+    def tail(drawn: str, marked: str) -> Column:  # logarithm of the bound, for above the mean
+        a, p = F.col("both") / F.col(drawn), F.col(marked) / F.lit(n)
+        rest = F.when(F.col("both") < F.col(drawn), (1 - a) * F.log((1 - a) / (1 - p))).otherwise(F.lit(0.0))
+        return -F.col(drawn) * (a * F.log(a / p) + rest)
+
+    chance = F.least(tail("n_t", "n_e"), tail("n_e", "n_t")) + F.log("tested")
     action = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    return measured(pairs.join(of_term, "term"), "n_t").select("entity", "term", "disclosure", action.alias("action"))
+    passed = pairs.withColumn("disclosure", disclosure).where((F.col("disclosure") >= GENERALISE) & (chance <= math.log(CHANCE)))
+    return passed.select("entity", "term", "disclosure", action.alias("action"))
 
 
-def terms_of_documents(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """_uid, _removed and _generalised: the disclosing terms of the entities in it (stored). held: the rows of docs with entities."""
+def terms_of_documents(spanned: DataFrame, held: DataFrame) -> DataFrame:
+    """_uid, _removed and _generalised: the disclosing terms of the entities in it (stored). held: the rows of spanned with entities."""
     found = cut(entities(held))
-    marks = cut(disclosing_terms(docs, held, found))
-    hit = found.select("_uid", "entity").distinct().join(_small(marks), "entity")
+    marks = cut(disclosing_terms(spanned, held, found))
+    hit = found.select("_uid", "entity").join(_small(marks), "entity")
     of_doc = hit.groupBy("_uid").agg(F.collect_set(F.when(F.col("action") == "remove", F.col("term"))).alias("_removed"), F.collect_set("term").alias("_all"))
     return cut(of_doc.select("_uid", "_removed", F.array_except("_all", "_removed").alias("_generalised")))
 
@@ -145,8 +168,8 @@ def with_term_spans(rows: DataFrame) -> DataFrame:
 
 
 def with_entities(spanned: DataFrame) -> DataFrame:
-    """_uid, _t and _spans of the documents that have base spans, each once (stored)."""
-    return cut(spanned.where("size(_spans) > 0").select("_uid", "_t", "_spans").dropDuplicates(["_uid"]))
+    """_uid, _h (the text's hash), _t and _spans of the documents that have base spans, each once (stored)."""
+    return cut(spanned.where("size(_spans) > 0").select("_uid", F.xxhash64("_t").alias("_h"), "_t", "_spans").dropDuplicates(["_uid"]))
 
 
 def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,7 +178,7 @@ def spans_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     texts = texts.withColumn("_uid", F.xxhash64("doc_id", "_t"))
     spanned = base_spans(texts)
     held = with_entities(spanned)
-    chosen = terms_of_documents(texts, held)
+    chosen = terms_of_documents(spanned, held)
     terms = with_term_spans(held.join(_small(chosen), "_uid")).select("_uid", "_terms")
     return spanned.select("doc_id", "_uid", "_spans").join(terms, "_uid", "left").select("doc_id", "_spans", "_terms")
 
@@ -175,8 +198,8 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def sanitise(docs: DataFrame) -> DataFrame:
     """The documents with their columns; in text base spans become [EMAIL] and so on, disclosing terms go or become [TERM]; n_chars to match."""
     rows = docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_uid", F.xxhash64(F.col("doc_id").cast("long"), F.col("_t")))
-    texts = rows.select("_uid", "_t")
-    chosen = terms_of_documents(texts, with_entities(base_spans(texts)))
+    spanned = base_spans(rows.select("_uid", "_t"))
+    chosen = terms_of_documents(spanned, with_entities(spanned))
     joined = base_spans(rows.join(_small(chosen), "_uid", "left"))
     none = F.expr("cast(array() as array<string>)")
     joined = joined.withColumns({c: F.coalesce(F.col(c), none) for c in ("_removed", "_generalised")})

@@ -64,6 +64,21 @@ def test_disclosing_terms(spark):
     assert all(r.n_term == 0 for r in pii.find(copies).collect())  # copies of one context prove nothing
 
 
+def test_terms_of_rare_and_copied_entities(spark):
+    rng = random.Random(13)
+    fill = lambda n: " ".join(f"word{rng.randint(0, 299)}" for _ in range(n))
+    rows = [(k, fill(20)) for k in range(4000)]
+    rows.append((5000, f"Quimby {fill(30)} write to q@example.org"))  # one text, the name far from the address
+    rows += [(6000 + k, "Mail Jorrick now: j@example.org") for k in range(50)]
+    rows += [(7000 + k, f"Vennix {fill(40)} v@example.org {k}") for k in range(2)]
+    rows += [(8000, "q.other@example.org word1 word2")]
+    texts = dict(rows)
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    terms = lambda d: {texts[d][int(a) : int(b)].lower() for kind, a, b in (s.split(":") for s in found[d].spans.split(",") if s) if kind == "term"}
+    assert "quimby" in terms(5000) and all("jorrick" in terms(6000 + k) for k in range(50)) and all("vennix" in terms(7000 + k) for k in range(2))
+    assert not any(x.startswith("word") for d in texts for x in terms(d)) and not any(terms(d) for d in texts if d < 5000 or d == 8000)
+
+
 def test_sanitise(spark, odd_docs, no_docs):
     docs = spark.createDataFrame([(d, t, "en", len(t), 1) for d, t in corpus()], "doc_id long, text string, lang string, n_chars long, _x int")
     rows = {r.doc_id: r for r in pii.sanitise(docs).collect()}
