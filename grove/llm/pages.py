@@ -11,15 +11,16 @@
    up ARTICLE_SHARE or more of what is left, what is left besides them goes too.
 
 Null or empty html gives an empty text. A null url is a page of its own host. Repeated rows are pages each. Pages of a hot
-host are split over many ranges. Very long pages are compared by hashed lines, and those of over LCS_LINES lines by
-their unique lines (patience alignment), in memory of order n. An empty table gives no rows. Other columns aren't read.
+host are split over many ranges. Pages of any length are aligned exactly, by bit-parallel rows of which the square root of their number is
+kept. An empty table gives no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
+from math import isqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from .common import batches, record_batch, slices
 
 RANGES = 2048
 RANGE_PAGES = 1000
-LCS_LINES = 400
+MASK_BYTES = 1 << 24
 COPY_SHARE = 0.8
 ARTICLE_SHARE = 0.3
 
@@ -161,47 +162,61 @@ def _lcs(a: list, b: list) -> set[int]:
     b = [x for x in b if x in there]
     if not kept:
         return found
-    if len(kept) * len(b) > LCS_LINES * LCS_LINES:  # lines that are unique in both, and their longest rising run
-        from collections import Counter
-
-        of_a, of_b = Counter(a[i] for i in kept), Counter(b)
-        where = {x: j for j, x in enumerate(b)}
-        pairs = [(i, where[a[i]]) for i in kept if of_a[a[i]] == 1 == of_b[a[i]]]
-        tails: list[int] = []
-        last: list[int] = []
-        back: list[int] = []
-        for n, (_, j) in enumerate(pairs):
-            k = bisect_left(tails, j)
-            back.append(last[k - 1] if k else -1)
-            if k == len(tails):
-                tails.append(j)
-                last.append(n)
-            else:
-                tails[k], last[k] = j, n
-        n = last[-1] if last else -1
-        while n >= 0:
-            found.add(pairs[n][0] + offset)
-            n = back[n]
-        return found
-    rows = [[0] * (len(b) + 1)]
-    for i in reversed(kept):
-        row, under = [0] * (len(b) + 1), rows[-1]
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = under[j + 1] + 1 if a[i] == b[j] else max(under[j], row[j + 1])
-        rows.append(row)
-    rows.reverse()
+    n, m = len(kept), len(b)
+    full = (1 << m) - 1
+    places: dict = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(m - 1 - j)
+    masks: dict = {}  # of the most frequent lines, MASK_BYTES together; a rarer line's is made when it is met
+    for x in sorted(places, key=lambda x: -len(places[x]))[: max(1, MASK_BYTES // (m // 8 + 1))]:
+        masks[x] = _bits(places[x], m)
+
+    def above(v: int, i: int) -> int:
+        """Row i from row i + 1. Rows have a zero bit where the longest common subsequence of the rest of a and of b grows by b's line."""
+        x = a[kept[i]]
+        u = v & (masks[x] if x in masks else _bits(places[x], m))
+        return ((v + u) | (v - u)) & full
+
+    # every step-th row is kept and those between are made again, so that memory is of order n ** 0.5 * m bits
+    step = max(1, isqrt(n))
+    every, v = {n: full}, full
+    for i in range(n - 1, -1, -1):
+        v = above(v, i)
+        if i % step == 0:
+            every[i] = v
     i = j = 0
-    while i < len(kept) and j < len(b):
-        if a[kept[i]] == b[j]:
-            found.add(kept[i] + offset)
-            i, j = i + 1, j + 1
-        elif rows[i + 1][j] >= rows[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+    while i < n and j < m:
+        end = min(n, i - i % step + step)
+        rows = [every[end]]
+        for k in range(end - 1, i - 1, -1):
+            rows.append(above(rows[-1], k))
+        rows.reverse()
+        first = i
+        while i < end and j < m:
+            here, below = rows[i - first], rows[i + 1 - first]
+            if a[kept[i]] == b[j]:
+                found.add(kept[i] + offset)
+                i, j = i + 1, j + 1
+            elif here >> (m - 1 - j) & 1 == 0:  # without b[j] the rest would be shorter
+                i += 1
+            else:
+                rest = (1 << (m - j)) - 1
+                if (here & rest).bit_count() == (below & rest).bit_count():
+                    i += 1
+                else:
+                    j += 1
     return found
 
 
+def _bits(places: list[int], size: int) -> int:
+    if len(places) == 1:
+        return 1 << places[0]
+    out = bytearray(size // 8 + 1)
+    for p in places:
+        out[p >> 3] |= 1 << (p & 7)
+    return int.from_bytes(out, "little")
+
+
 def difference(own: list[tuple[str, bool]], pair: list[tuple[str, bool]]) -> set[int] | None:
     """Indices of the page's lines that the pair has too; None if the pair is a copy of it."""
     if not pair:

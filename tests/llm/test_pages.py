@@ -64,6 +64,30 @@ def test_lcs_against_brute_force():
         assert is_sub([a[i] for i in found], b) and len(found) == longest(a, b)
 
 
+def test_lcs_of_long_pages():
+    rng = random.Random(14)
+
+    def table(a, b):  # the plain table, and the walk through it that takes the earliest lines
+        rows = [[0] * (len(b) + 1)]
+        for x in reversed(a):
+            row = [0] * (len(b) + 1)
+            for j in range(len(b) - 1, -1, -1):
+                row[j] = rows[-1][j + 1] + 1 if x == b[j] else max(rows[-1][j], row[j + 1])
+            rows.append(row)
+        return rows[-1][0]
+
+    for size, names in ((390, 30), (410, 30), (800, 7), (900, 3000)):
+        a, b = ([f"line {rng.randrange(names)}" for _ in range(size)] for _ in range(2))
+        found = sorted(pages._lcs(a, b))
+        it = iter(b)
+        assert all(a[i] in it for i in found) and len(found) == table(a, b), (size, names)
+    # every Reply is shared, however often it comes
+    a, b = ([x for k in range(600) for x in (f"{name} {k}", "Reply")] for name in ("own", "other"))
+    assert len(pages._lcs(a, b)) == 600
+    long = [f"line {rng.randrange(5000)}" for _ in range(20_000)]
+    assert len(pages._lcs(["x", *long], [*long, "y"])) == 20_000
+
+
 def test_copies_are_no_template(spark):
     bare = "<div>Site head</div><div>" + "".join(f"<p>Paragraph {k} of one long story.</p>" for k in range(9)) + "</div>"
     found = pages.extract(rows_of(spark, [(1, "https://c.org/1", bare), (2, "https://c.org/2", bare)])).collect()
