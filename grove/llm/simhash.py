@@ -54,16 +54,24 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(2 * count > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, hashed: bool = False) -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) of every row; if asked for, h and g, two hashes of the text."""
+    out = "doc_id long, fp long" + (", h long, g long" if hashed else "")
 
     def run(parts):
-        schema = batches("doc_id long, fp long")
+        schema = batches(out)
         for part in slices(parts):
             fps = np.array([fingerprint(t, width) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield record_batch(schema, [part.column(0), fps])
+            yield record_batch(schema, [part.column(0), fps, *part.columns[2:]])
+
+    own = _hashes(F.col(text)) if hashed else []
+    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string"), *own).mapInArrow(run, out)
+
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, fp long")
+def _hashes(text) -> list:
+    """Null and empty texts differ in h; 128 bits together."""
+    known = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(text.isNull(), known).alias("h"), F.xxhash64(F.lit(1), known).alias("g")]
 
 
 def covering_masks(radius: int = RADIUS, bits: int = 64, family: int = 0) -> list[int]:
@@ -168,8 +176,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> Data
     return found
 
 
-def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id of every row of fps, which is read more than once and should be a stored table.
+def components(fps: DataFrame, radius: int = RADIUS, rooted: bool = False) -> DataFrame:
+    """fps and component_id (and root, the component's own fingerprint, if asked for) of every row of fps, which is read more than once and should be a stored table.
 
     A fingerprint of more than HOT_SHARE of all rows doesn't send its rows to one task: there are 1 / HOT_SHARE such
     fingerprints at most, so their names are broadcast. The names of components are stored before they are joined, so that
@@ -178,12 +186,13 @@ def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     n = fps.count()
     groups = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), n)
     joined = connected_components(links(groups.select("fp"), radius), stored=True).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    rooted = groups.join(joined, "fp", "left").select("fp", "rep", "rows", F.coalesce("root", "fp").alias("root"))
-    least = cut(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), n)
-    named = cut(rooted.join(least, "root").select("fp", "rows", "component_id"), n)
+    roots = groups.join(joined, "fp", "left").select("fp", "rep", "rows", F.coalesce("root", "fp").alias("root"))
+    least = cut(roots.groupBy("root").agg(F.min("rep").alias("component_id")), n)
+    names = ["component_id", "root"] if rooted else ["component_id"]
+    named = cut(roots.join(least, "root").select("fp", "rows", *names), n)
     hot = F.broadcast(named.where(F.col("rows") > n * HOT_SHARE).drop("rows"))
     rest = fps.join(hot.select("fp"), "fp", "left_anti").join(named.drop("rows"), "fp")
-    return fps.join(hot, "fp").unionByName(rest).select("doc_id", "fp", "component_id")
+    return fps.join(hot, "fp").unionByName(rest).select(*fps.columns, *names)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -193,12 +202,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their component, with their columns; of repeated rows of that doc_id the least text. Rows without doc_id stay only where nothing else names their component."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    whole = F.struct(F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
-    one = rows.groupBy("doc_id").agg(F.min(whole).alias("_row"))
-    return one.select(*[F.col(f"`{c}`") if c == "doc_id" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    """One row of each component, with its columns: of the rows of the least doc_id (rows without doc_id only where no other is in the component) the one of the least text."""
+    found = components(cut(fingerprints(docs, hashed=True)), rooted=True)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("g").alias("_g"), F.col("root").alias("_root")).distinct()
+    h, g = _hashes(F.col("text"))
+    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (h == F.col("_h")) & (g == F.col("_g")))
+    whole = F.struct(F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    one = rows.groupBy("_root").agg(F.min(whole).alias("_row"))
+    return one.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -92,3 +92,10 @@ def test_one_of_each(spark):
     got = simhash.one_of_each(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "a b c d e"), (3, "quite another text of words"), (5, "")]
+
+
+def test_one_of_each_component(spark):
+    texts = ["the first text of some words", "a second one that is quite another", "and a third about nothing of that kind"]
+    rows = [(None, texts[0], 1), (None, texts[1], 2), (None, texts[1], 2), (7, texts[0], 3), (7, texts[2], 4), (None, None, 5), (None, "", 6)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
+    assert sorted((r.n, r.doc_id, r.text) for r in got) == [(2, None, texts[1]), (3, 7, texts[0]), (4, 7, texts[2]), (5, None, None)]
