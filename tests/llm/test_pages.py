@@ -97,3 +97,87 @@ def test_copies_are_no_template(spark):
 def test_names():
     assert pages._tells("sidebar left") and pages._tells("comment-list") and pages._tells("site-footer")
     assert not pages._tells("has-sidebar") and not pages._tells("article-body") and not pages._tells("lead")
+
+
+def test_tags_as_html_reads_them():
+    texts = lambda h: [x for x, _ in pages.blocks(h)]
+    assert texts("<a href=\"x\" title='it's'>Link</a> text <p>more 'quoted' here</p>") == ["Link text", "more 'quoted' here"]
+    assert texts('<p title="5" tall">Lost</p>') == ["Lost"] and texts("<p a='never closed>one</p>two") == ["one", "two"]
+    assert texts('<p title="a > b" id=x>kept</p>') == ["kept"] and texts("a < b <3 </ c") == ["a < b <3 </ c"]
+    assert texts("<article><header><h1>Title</h1><p>by a reader</p></header><p>Body</p></article><header><h1>Site</h1></header>") == ["Title", "Body"]
+    assert texts("<div class='share-price'>price</div><p class='related-work'>work</p><div class='notice'>n</div><div class=siteFooter>f</div><div class='entry-header'>h</div>") == ["price", "work", "h"]
+    for part in ("<x '", "<x a='", '<x a=">" ', "<i><div><b>", "</i></div>", "<!-"):  # in one pass, whatever is left open
+        assert pages.blocks("<p>first" + part * 50_000)[0][0].startswith("first")
+
+
+def changed(spark, rows):
+    """How many pages differencing changes, and the texts."""
+    found = {r.page_id: r.text for r in pages.extract(rows_of(spark, rows)).collect()}
+    return sum(found[k] != pages.main_text(pages.blocks(h)) for k, _, h in rows), found
+
+
+def test_differencing_decides(spark):
+    story = lambda k: "".join(f"<p>Paragraph {j} of the story of page {k}.</p>" for j in range(5))
+    own = lambda k: "\n\n".join(f"Paragraph {j} of the story of page {k}." for j in range(5))
+    site = ("<div>Our site, since 1999</div><div>Start here</div>", "<div>Tell your friends</div><div>Reply</div><div>Reply</div>")
+    for around in ("div", "main"):
+        rows = [(k, f"https://d.org/{k:02}", f"<{around}>{site[0]}{story(k)}{site[1]}</{around}>") for k in range(20)]
+        n, found = changed(spark, rows)
+        assert n == 20 and all(found[k] == own(k) for k in range(20)), around
+    # site lines within the article go where both neighbours have them; a quoted passage and a chance likeness stay
+    passage = "<p>" + " ".join(f"quoted{j}" for j in range(60)) + "</p>"
+    rows = [(k, f"https://e.org/{k:02}", f"<article>{passage}{story(k)}<p>Of.</p><p>All of this site's texts are free to read</p></article>") for k in range(20)]
+    n, found = changed(spark, rows)  # the first and the last page have one neighbour alone
+    assert n == 18 and all(found[k].startswith("quoted0") and found[k].endswith(f"page {k}.") for k in range(1, 19))
+    # cards are articles, but the main text isn't
+    rows = [(k, f"https://f.org/{k:02}", f"{site[0]}<article>Card {k} one</article><article>Card {k} two</article><div>{story(k)}</div>{site[1]}") for k in range(9)]
+    assert all(own(k) in x and "Reply" not in x and "since" not in x for k, x in changed(spark, rows)[1].items())
+
+
+def test_runs_of_copies_hide_no_neighbour(spark):
+    head, copy = "<div>Site head of the pages</div>", "".join(f"<p>Paragraph {k} of one long story.</p>" for k in range(9))
+    rows = [(k, f"https://c.org/{k:03}", head + copy) for k in range(50)] + [(100, "https://c.org/100", head + "<p>Another story, and quite a short one it is</p>")]
+    n, found = changed(spark, rows)
+    assert n == 51 and all("Site head" not in x for x in found.values()) and all(found[k].count("Paragraph") == 9 for k in range(50))
+
+
+def test_pages_without_a_host_meet_no_other(spark):
+    rows = [(k, None if k % 2 else "not a url", f"<div>The same line</div><p>Own {k}</p>") for k in range(6)]
+    n, found = changed(spark, rows)
+    assert n == 0 and found == {k: f"The same line\n\nOwn {k}" for k in range(6)}
+
+
+def brute(rows):
+    """By the definition, over one sorted list."""
+    read = sorted((*pages.place_of(u), p, u, pages.blocks(h)) for p, u, h in rows)
+    found = {}
+    for i, (host, path, page_id, _, own) in enumerate(read):
+        neighbours = []
+        for step in (-1, 1):
+            j, last, seen = i + step, own, 0
+            while 0 <= j < len(read) and read[j][0] == host and seen <= pages.LENT:
+                other = read[j][4]
+                if other != last:  # a run of equal texts is one
+                    seen += 1
+                    if seen <= pages.LENT and (shared := pages.shared_lines(own, other)) is not None:
+                        neighbours.append((read[j][1], shared))
+                        break
+                last, j = other, j + step
+        neighbours.sort(key=lambda x: -pages.common(path, x[0]))
+        found[page_id] = pages.main_text(own, *[shared for _, shared in neighbours])
+    return found
+
+
+def test_operator_against_brute_force(spark, monkeypatch):
+    rng = random.Random(15)
+    lines = [f"Site line {k} of many" for k in range(4)]
+    rows = []
+    for k in range(400):
+        kind = rng.choice(["div", "main", "article", "div"])
+        body = "".join(f"<p>{rng.choice(lines) if rng.random() < 0.4 else f'Own words {rng.randint(0, 10**6)}'}</p>" for _ in range(rng.randint(0, 8)))
+        rows.append((k, f"https://{rng.choice('abc')}.org/{rng.randint(0, 60)}/{rng.choice('xy')}", rows[-1][2] if rows and rng.random() < 0.1 else f"<div>{rng.choice(lines)}</div><{kind}>{body}</{kind}>"))
+    want = brute(rows)
+    assert {r.page_id: r.text for r in pages.extract(rows_of(spark, rows)).collect()} == want
+    monkeypatch.setattr(pages, "RANGE_PAGES", 40)
+    got = {r.page_id: r.text for r in pages.extract(rows_of(spark, rows).repartition(3)).collect()}
+    assert sum(got[k] == want[k] for k in want) == len(want)
