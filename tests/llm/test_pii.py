@@ -100,3 +100,68 @@ def test_sanitise(spark, odd_docs, no_docs):
 def test_no_python_on_the_main_path(sf_docs):
     plan = pii.find(sf_docs)._jdf.queryExecution().toString() + pii.sanitise(sf_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_input_columns_stay_as_they_are(spark):
+    rows = [(1, "Write to zed@example.org or call", "own", ["a"], 7, "r", b"k", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _t string, _spans array<string>, _uid int, _removed string, _in binary, _all int")
+    got = pii.sanitise(docs)
+    assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
+    assert tuple(got.first()) == (1, "Write to [EMAIL] or call", "own", ["a"], 7, "r", b"k", 5)
+
+
+def test_long_texts_of_many_matches(spark):
+    import time
+
+    rng = random.Random(17)
+    number = lambda: str(rng.randint(10**11, 10**13))
+    texts = [" ".join(number() for _ in range(n)) for n in (3000, 70_000)] + ["é@x.org a@b.org, 4111 1111 1111 1111 " * 4000, "x" * 20_000 + " q@x.org " + "😀" * 9000 + " q@x.org"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    assert time.perf_counter() - began < 100
+    for d, t in enumerate(texts):
+        want = brute(t)
+        assert got[d].base_sha256 == hashlib.sha256(",".join(x[2] for x in want).encode()).hexdigest(), d
+    spans = [(int(a), int(b), kind) for kind, a, b in (s.split(":") for s in got[3].spans.split(",")) if kind == "email"]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[3] == texts[3].replace("q@x.org", "[EMAIL]") and [texts[3][a:b] for a, b, _ in spans] == ["q@x.org"] * 2
+    assert clean[2].count("[EMAIL]") == 4000 and clean[2].count("[CARD]") == 4000
+
+
+def test_measures_against_brute_force(spark):
+    """Information, chance and actions, from the definitions, over all pairs of an entity and a term."""
+    import math
+
+    rng = random.Random(18)
+    words = [f"word{k}" for k in range(60)]
+    docs = []
+    for k in range(1500):
+        text = [rng.choice(words) for _ in range(rng.randint(3, 12))]
+        if k % 10 == 0:
+            who = rng.randint(0, 8)
+            text += [f"p{who}@x.org"] + [f"nick{who}"] * (rng.random() < 0.9) + [f"team{who % 3}"] * (rng.random() < 0.9)
+        docs.append((k, " ".join(text)))
+    docs += [(2000 + k, docs[0][1]) for k in range(30)]
+    texts = sorted({t for _, t in docs})
+    mails = {t: {"email:" + x.lower() for x in re.findall(r"\S+@\S+", t)} for t in texts}
+    terms = {t: set(re.findall(r"\w{3,}", re.sub(r"\S+@\S+", " ", t.lower()))) for t in texts}
+    n, want = len(texts), {}
+    for e in set().union(*mails.values()):
+        held = [t for t in texts if e in mails[t]]
+        tested = sum(len(terms[t]) for t in held)
+        for x in set().union(*(terms[t] for t in held)):
+            both, n_t, n_e = sum(x in terms[t] for t in held), sum(x in terms[t] for t in texts), len(held)
+            disclosure = math.log2(n * both / (n_e * n_t)) / math.log2(n / n_e)
+
+            def tail(drawn, marked):
+                a, p = both / drawn, marked / n
+                return -drawn * (a * math.log(a / p) + ((1 - a) * math.log((1 - a) / (1 - p)) if a < 1 else 0))
+
+            if disclosure >= pii.GENERALISE and min(tail(n_t, n_e), tail(n_e, n_t)) + math.log(tested) <= math.log(pii.CHANCE):
+                want[e, x] = "remove" if disclosure >= pii.REMOVE else "generalise"
+    rows = spark.createDataFrame(docs, "doc_id long, _t string")
+    keyed = pii.keyed(rows, "doc_id")
+    held = pii.with_entities(keyed)
+    got = {(r.entity, r.term): r.action for r in pii.disclosing_terms(keyed, held, pii.cut(pii.entities(held))).collect()}
+    assert got == want and {x[:4] for _, x in want} == {"nick"} and len(want) >= 5
