@@ -6,7 +6,8 @@ numpy), merges its leftmost pair of least rank and closes the gap; rows without
 would cost the square of their length that way; the same merges are found for them with a heap. A pre-token that is
 itself in the vocabulary is one id, as in tiktoken.
 
-Null texts are empty texts: no ids. Repeated rows are encoded each. Columns other than doc_id and text are not read.
+Null texts are empty texts: no ids. Repeated rows are encoded each; there are no ties, as equal ranks are merged leftmost
+first. An empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations

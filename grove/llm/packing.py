@@ -1,13 +1,16 @@
 """Operator 6, shortest-pack-first packing over the length histogram.
 
 1. Every document is encoded and closed with END; it is cut into pieces of CONTEXT ids and a rest (each id in one piece).
-2. The pieces' length histogram (CONTEXT rows at most) goes to the driver. Lengths are placed longest first, each into the
-   pack with the smallest total that still has room, whole counts at a time; what comes out are packing patterns with counts.
+2. The pieces' length histogram (CONTEXT rows at most) goes to the driver. Lengths are placed longest first, each copy into
+   the pack with the smallest total that still has room, whole groups of packs at a time; what comes out are packing patterns
+   with counts.
 3. Each pattern takes a range of ranks of each of its lengths; pieces find their sequence and offset by length and rank.
    Ranks within one length come from counts of (length, bucket of doc_id), so that one common length isn't ranked in one task.
 
-Null and empty texts are documents of the END id alone. Repeated rows are packed each. An empty table gives no pieces.
-Columns other than doc_id and text are not read. A null doc_id is carried as null.
+Null and empty texts are documents of the END id alone. Repeated rows are packed each. Very long texts are encoded whole, a
+few rows at a time, and give as many pieces as they need. Ties: pieces of one length are ranked by bucket, doc_id, start and
+checksum; pieces that agree in all of these are interchangeable. An empty table gives no pieces. Columns other than doc_id
+and text are not read. A null doc_id is carried as null.
 """
 
 from __future__ import annotations
@@ -53,40 +56,48 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", context:
 
 
 def shortest_pack_first(histogram: dict[int, int], context: int = CONTEXT) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Patterns ((length, copies), ...) in order of placing, and how many packs follow each."""
-    by_total: dict[int, dict[tuple, int]] = defaultdict(lambda: defaultdict(int))
+    """Patterns ((length, copies), ...) in order of placing, and how many packs follow each.
+
+    Copy by copy, longest first, each would go into the shortest pack that has room, or else into a new one. All packs of the
+    shortest total take a copy each before any takes a second, so a whole group of packs moves on at once.
+    """
+    by_total: dict[int, dict[tuple, int]] = {}
+
+    def add(total: int, pattern: tuple, packs: int):
+        group = by_total.setdefault(total, {})
+        group[pattern] = group.get(pattern, 0) + packs
+
+    def taking(pattern: tuple, length: int, copies: int) -> tuple:
+        if pattern and pattern[-1][0] == length:
+            return (*pattern[:-1], (length, pattern[-1][1] + copies))
+        return (*pattern, (length, copies))
+
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         if not 0 < length <= context:
             raise ValueError(f"a piece of {length} doesn't fit {context}")
         while left:
-            total = next((t for t in sorted(by_total) if t + length <= context and by_total[t]), None)
-            if total is None:  # new packs; a copy more goes into the shortest as long as it fits, so they fill up alike
+            totals = sorted(t for t in by_total if t + length <= context)[:2]
+            if not totals:  # new packs: a copy more goes into the newest, the one pack with room, as long as it fits
                 each = context // length
                 for copies, packs in ((each, left // each), (left % each, 1)):
                     if copies and packs:
-                        by_total[copies * length][((length, copies),)] += packs
-                left = 0
+                        add(copies * length, ((length, copies),), packs)
                 break
-            group = by_total[total]
-            room = (context - total) // length
-            for pattern in sorted(group):
-                packs = group.pop(pattern)
-                used = min(packs, left // room)
+            total = totals[0]
+            group = by_total.pop(total)
+            # copies that each pack takes until it isn't the shortest any more, or has no room
+            copies = min(-(-(totals[1] - total) // length) if len(totals) > 1 else context, (context - total) // length)
+            packs = sum(group.values())
+            copies = min(copies, max(1, left // packs))
+            for pattern, n in group.items():
+                used = min(n, left // copies)
                 if used:
-                    by_total[total + room * length][pattern + ((length, room),)] += used
-                    left -= room * used
-                rest = packs - used
-                if rest and 0 < left < room:
-                    by_total[total + left * length][pattern + ((length, left),)] += 1
-                    left, rest = 0, rest - 1
-                if rest:
-                    group[pattern] += rest
-                if not left:
-                    break
-            if not group:
-                del by_total[total]
-    return [(pattern, packs) for total in sorted(by_total, reverse=True) for pattern, packs in sorted(by_total[total].items()) if packs]
+                    add(total + copies * length, taking(pattern, length, copies), used)
+                    left -= used * copies
+                if n > used:
+                    add(total, pattern, n - used)
+    return [(pattern, packs) for total in sorted(by_total, reverse=True) for pattern, packs in sorted(by_total[total].items())]
 
 
 def slots(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[int, np.ndarray]:

@@ -3,7 +3,8 @@
 Documents are aggregated by encoded length (one row for each length that occurs). Suffix sums over that histogram answer,
 for every context limit, how many documents and tokens reach it and how many tokens stay if each document is cut there.
 
-Null and empty texts have length 0. Repeated rows count each. An empty table gives an empty histogram. Columns other than
+Null and empty texts have length 0. Repeated rows count each, and documents of equal length are one row. Very long texts are
+encoded whole, a few rows at a time. An empty table gives an empty histogram. Columns other than
 the text are not read, so clashing names do no harm. The histogram has at most as many rows as there are distinct lengths
 (under the square root of twice the corpus's tokens), so the one window over it stays small.
 """

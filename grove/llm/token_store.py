@@ -1,16 +1,22 @@
 """Operator 9, token ids in binary shards with a minimal perfect hash index.
 
-Format: a table of shards (Parquet, written by Spark, so that lost executors and repeated tasks leave no half files), in
-ascending doc_id order. A shard's row holds
+Format: two Parquet tables, written by Spark, so that lost executors and repeated tasks leave no half files. `shards` is in
+ascending doc_id order; a shard's row holds
 
 * payload: the ids of its documents one after the other, little-endian unsigned 32-bit, each document closed with END;
 * index: a minimal perfect hash over its keys (levels of bit arrays; a key's slot is the rank of its bit);
 * fingerprints, starts, lengths: by slot; 32 bits of another hash of the key, the first id in the payload and the count.
 
+`directory` has a row for each shard: its first and last key, and the file it is in. A keyed read finds the one shard whose
+keys enclose the key there (the bounds are pushed down to the directory's row groups), opens that file, of whose row groups
+(one for about ROW_GROUP bytes) only the shard's is read, and asks the shard's perfect hash: neither depends on how many
+documents the store holds, but for the directory's pruned scan.
+
 A key is a doc_id and its occurrence (0 for the first row with that doc_id), so repeated rows are kept and found each.
-Rows are dealt to ranges of doc_id by quantiles of the column, sorted there, and cut into shards as they stream past: memory
-holds one shard. Null texts are documents of the END id alone; null doc_ids come first. An empty table gives no shards.
-Rows with equal doc_id are in the order of their text. Columns other than doc_id and text are not read.
+Rows are dealt to ranges of doc_id whose bounds are quantiles of a sample by hash, sorted there, and cut into shards as they
+stream past: memory holds one shard. Null texts are documents of the END id alone; null doc_ids come first. Very long texts
+are encoded whole; a shard is closed after the text that fills it. An empty table gives no shards. Rows with equal doc_id are
+in the order of their text, and so in one range. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,9 +34,12 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 SHARD_IDS = 1 << 20
 SHARD_DOCS = 4096
-#: Ranges of doc_id that tasks are dealt; more for more documents, and this many at most.
-RANGES = 4096
+#: Ranges hold so many documents, until there are RANGES of them, which bounds the splits that go to driver and tasks.
 RANGE_DOCS = 4096
+RANGES = 65_536
+#: doc_ids that are sampled for each range, about.
+SAMPLED = 16
+ROW_GROUP = 1 << 22
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -120,7 +129,7 @@ class Shard:
         return np.frombuffer(self.payload, "<u4", int(length[0]), 4 * int(start[0])) if there[0] else None
 
 
-SHARD = "range_id int, shard int, n_docs long, n_ids long, docs array<long>, occurrences array<int>, payload binary, index binary, fingerprints binary, starts binary, lengths binary"
+SHARD = "range_id int, shard int, first_doc long, first_time int, last_doc long, last_time int, n_docs long, n_ids long, docs array<long>, occurrences array<int>, payload binary, index binary, fingerprints binary, starts binary, lengths binary"
 
 
 def _shard_row(range_id: int, shard: int, docs: list, occurrences: list[int], parts: list[bytes]) -> tuple:
@@ -130,7 +139,7 @@ def _shard_row(range_id: int, shard: int, docs: list, occurrences: list[int], pa
     index = PerfectHash.of(keys)
     slot = index.slots(keys)
     by_slot = lambda x: (out := np.zeros(len(docs), "<u4"), out.__setitem__(slot, x))[0].tobytes()
-    return range_id, shard, len(docs), int(lengths.sum()), docs, occurrences, b"".join(parts), index.dump(), by_slot(fingerprints(keys)), by_slot(starts), by_slot(lengths)
+    return range_id, shard, docs[0], occurrences[0], docs[-1], occurrences[-1], len(docs), int(lengths.sum()), docs, occurrences, b"".join(parts), index.dump(), by_slot(fingerprints(keys)), by_slot(starts), by_slot(lengths)
 
 
 def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> None:
@@ -139,31 +148,22 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = rows.select("doc_id").count()
     ranges = int(min(RANGES, max(1, n // RANGE_DOCS)))
-    splits = []
+    splits = np.zeros(0, np.int64)
     if ranges > 1:
-        found = rows.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 20 * ranges).alias("q")).first()["q"] or []
-        splits = sorted(set(found))  # RANGES at most
-    # doc_id's place among the splits, by halving them: an expression as deep as their count's logarithm
-    def place(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("doc_id") < F.lit(splits[middle]), place(low, middle)).otherwise(place(middle + 1, high))
-
+        share = max(1, n // (SAMPLED * ranges))
+        sample = rows.select("doc_id").where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0))
+        found = np.sort(sample.limit(4 * SAMPLED * ranges).toArrow()["doc_id"].to_numpy())
+        if len(found):
+            splits = np.unique(found[np.arange(1, ranges) * len(found) // ranges])
     spark = docs.sparkSession
-    if len(splits) <= 256:
-        ranged = rows.withColumn("range_id", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place(0, len(splits))))
-    else:  # beyond that the expression is too much code; the same place by search
-        def search(parts):
-            import pyarrow as pa
 
-            at = np.array(splits, np.int64)
-            for part in parts:
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                low = np.array([-(2**63) if x is None or x != x else int(x) for x in part.column(0).to_pylist()], np.int64) if part.column(0).null_count else ids
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.searchsorted(at, low, "right").astype(np.int32))], names=["doc_id", "text", "range_id"])
+    def search(parts):
+        import pyarrow as pa
 
-        ranged = rows.mapInArrow(search, "doc_id long, text string, range_id int")
+        for part in parts:
+            known = part.column(0).is_valid().to_numpy(zero_copy_only=False)
+            at = np.searchsorted(splits, part.column(0).fill_null(0).to_numpy(), "right")
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(known, at, 0).astype(np.int32)), *part.columns], names=["range_id", "doc_id", "text"])
 
     def run(parts):
         schema, encode, end = batches(SHARD), word_encoder(tokenizer).encode, np.array([END], "<u4").tobytes()
@@ -189,8 +189,13 @@ def write(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text"
             yield record_batch(schema, [[x] for x in _shard_row(now, shard, ids, times, payload)])
 
     parts = max(1, min(len(splits) + 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), len(splits) // 8)))
+    ranged = rows.mapInArrow(search, "range_id int, doc_id long, text string") if len(splits) else rows.select(F.lit(0).alias("range_id"), "doc_id", "text")
     dealt = ranged.repartition(parts, "range_id").sortWithinPartitions("range_id", F.col("doc_id").asc_nulls_first(), "text").select("range_id", "doc_id", "text")
-    dealt.mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(path)
+    writer = dealt.mapInArrow(run, SHARD).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+    writer.option("parquet.block.size.row.check.min", 1).option("parquet.block.size.row.check.max", 1).parquet(f"{path}/shards")
+    bounds = spark.read.parquet(f"{path}/shards").select("first_doc", "first_time", "last_doc", "last_time", "range_id", "shard", "n_ids", F.input_file_name().alias("file"))
+    files = max(1, n // (SHARD_DOCS * 100_000))
+    bounds.repartitionByRange(files, F.col("first_doc").asc_nulls_first()).sortWithinPartitions(F.col("first_doc").asc_nulls_first(), "first_time").write.parquet(f"{path}/directory")
 
 
 DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -198,8 +203,8 @@ DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def read(spark, path: str) -> DataFrame:
     """DIGEST of every document, each looked up by its key in the written shards."""
-    shards = spark.read.parquet(path)
-    sizes = shards.select("range_id", "shard", "n_ids")
+    shards = spark.read.parquet(f"{path}/shards")
+    sizes = spark.read.parquet(f"{path}/directory").select("range_id", "shard", "n_ids")
     totals = sizes.groupBy("range_id").agg(F.sum("n_ids").alias("n"))  # RANGES rows at most
     before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("range_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_range"))
@@ -223,13 +228,23 @@ def read(spark, path: str) -> DataFrame:
     return found.join(starts, ["range_id", "shard"]).select("doc_id", (F.col("first") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def get(spark, path: str, doc_id: int, occurrence: int = 0):
+def shard_of(spark, path: str, doc_id: int | None, occurrence: int = 0) -> DataFrame:
+    """The row of the one shard whose keys enclose this key, from its file; no row where none does."""
+    if doc_id is None:  # null keys come before all others
+        starts, ends = F.col("first_doc").isNull() & (F.col("first_time") <= occurrence), F.col("last_doc").isNotNull() | (F.col("last_time") >= occurrence)
+    else:
+        starts = F.col("first_doc").isNull() | (F.col("first_doc") < doc_id) | ((F.col("first_doc") == doc_id) & (F.col("first_time") <= occurrence))
+        ends = (F.col("last_doc") > doc_id) | ((F.col("last_doc") == doc_id) & (F.col("last_time") >= occurrence))
+    at = spark.read.parquet(f"{path}/directory").where(starts & ends).select("file", "range_id", "shard").first()
+    if at is None:
+        return spark.createDataFrame([], spark.read.parquet(f"{path}/shards").schema)
+    return spark.read.parquet(at["file"]).where((F.col("range_id") == at["range_id"]) & (F.col("shard") == at["shard"]))
+
+
+def get(spark, path: str, doc_id: int | None, occurrence: int = 0):
     """One document's ids, or None."""
-    held = spark.read.parquet(path).where(F.array_contains("docs", F.lit(doc_id).cast("long")))
-    for r in held.select("payload", "index", "fingerprints", "starts", "lengths").toLocalIterator():
-        if (ids := Shard(*map(bytes, r)).ids(doc_id, occurrence)) is not None:
-            return ids
-    return None
+    row = shard_of(spark, path, doc_id, occurrence).select("payload", "index", "fingerprints", "starts", "lengths").first()
+    return None if row is None else Shard(*map(bytes, row)).ids(doc_id, occurrence)
 
 
 def op9_token_store(spark, sf_dir: str) -> DataFrame:

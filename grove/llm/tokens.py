@@ -8,17 +8,21 @@ encoder here against the library over whole texts.
   pre-tokenizer must cut. A chunk that is a Latin word and perhaps closing punctuation needs no normalising but lower case
   and is one pre-token and one more: its word goes to a rank encoder. Any other chunk goes to the library. Chunks are kept
   with their ids until there are CACHE_ENTRIES of them.
+
+The files' added tokens ("<|endoftext|>") are found first wherever they stand in a text, as the library does in its default
+setting; each gives its one id, and what is between them is encoded by itself.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 
 import numpy as np
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 
 
 def public(name: str) -> str:
@@ -41,20 +45,43 @@ def _vocabulary(path: str) -> tuple[dict[str, int], dict[str, int]]:
     return vocabulary, byte_of
 
 
+class Added:
+    """The file's added tokens. They are taken out of texts before anything else, so they must be plain strings."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            tokens = json.load(file)["added_tokens"]
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in tokens):
+            raise ValueError("added tokens that depend on what is around them")
+        self.ids = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in tokens}
+        longest_first = sorted(self.ids, key=len, reverse=True)
+        self.found = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if tokens else None
+        self.sign = os.path.commonprefix(longest_first)
+
+    def encode(self, text: str, plain) -> bytes:
+        """The text's ids, those of its plain parts by plain(part)."""
+        if self.found is None or self.sign not in text:
+            return plain(text)
+        return b"".join(self.ids[x] if k % 2 else plain(x) for k, x in enumerate(self.found.split(text)) if x)
+
+
 class RankEncoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes; no special tokens."""
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes; none are added at its ends."""
 
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
         vocabulary, byte_of = _vocabulary(path)
-        ranks = {bytes([byte_of[c] for c in token]): rank for token, rank in vocabulary.items() if all(c in byte_of for c in token)}
-        ranks.pop(b"<|endoftext|>", None)
+        self.added = Added(path)
+        ranks = {bytes([byte_of[c] for c in token]): rank for token, rank in vocabulary.items() if token not in self.added.ids and all(c in byte_of for c in token)}
         self.one = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def _plain(self, text: str) -> bytes:
+        return array("I", self.one(text)).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return [array("I", self.one(t)).tobytes() if t else b"" for t in texts]
+        return [self.added.encode(t, self._plain) if t else b"" for t in texts]
 
 
 class _Kept(dict):
@@ -69,18 +96,20 @@ class _Kept(dict):
 
 
 class WordEncoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes; no special tokens."""
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes; none are added at its ends."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.added = Tokenizer.from_file(path), Added(path)
         vocabulary, byte_of = _vocabulary(path)
         ranks = {}
-        for token, rank in vocabulary.items():  # a word's end stands as the byte FF, which no UTF-8 text has
+        for token, rank in vocabulary.items():
+            if token in self.added.ids:
+                continue
+            # a word's end stands as the byte FF, which no UTF-8 text has
             body, end = (token[:-4], b"\xff") if token.endswith("</w>") else (token, b"")
             if body and all(c in byte_of for c in body):
                 ranks[bytes([byte_of[c] for c in body]) + end] = rank
@@ -103,9 +132,12 @@ class WordEncoder:
             if len(self.chunks) > CACHE_ENTRIES:
                 self.chunks.clear()
                 self.tails.clear()
-            out.append(b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))) if text else b"")
+            out.append(self.added.encode(text, self._plain) if text else b"")
         return out
 
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+
 
 _ENCODERS: dict = {}
 

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from grove.llm import bpe, packing, token_counts, token_store
 from grove.llm.tokens import RankEncoder, WordEncoder
 
-PARTS = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "b", "don't", "it's", "É", "é", "1", "23", "...", "İ", "Σ", "日本", "😀", "​", "\x1c", "\x85", "<|endoftext|>", '"', "᠎", "﻿", "X", "́", "'s", "word.", "Straße,", "ﬁ"]
+PARTS = [" ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "b", "don't", "it's", "É", "é", "1", "23", "...", "İ", "Σ", "日本", "😀", "​", "\x1c", "\x85", "<|endoftext|>", "<|startoftext|>", "<|", '"', "᠎", "﻿", "X", "́", "'s", "word.", "Straße,", "ﬁ"]
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,6 @@ def texts(sf_docs):
 @pytest.mark.parametrize("kind, name", [(RankEncoder, "byte_bpe_50k.json"), (WordEncoder, "word_bpe_49k.json")])
 def test_ids_are_the_librarys(texts, kind, name):
     library = Tokenizer.from_file(public_tokenizers.path(name))
-    library.encode_special_tokens = True
     for text, own, want in zip(texts, kind(public_tokenizers.path(name)).encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(own, "<u4").tolist() == want.ids, text
 
@@ -67,7 +66,6 @@ def test_op8_rows(spark, odd_docs, no_docs, as_tables):
 
 def lengths_of(rows):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     return [e.ids for e in library.encode_batch([r.text or "" for r in rows], add_special_tokens=False)]
 
 
@@ -147,6 +145,37 @@ def test_shortest_pack_first_places_all():
         packing.shortest_pack_first({9: 1}, 8)
 
 
+def test_shortest_pack_first_copy_by_copy():
+    def totals(histogram, context):
+        packs = []
+        for length in sorted(histogram, reverse=True):
+            for _ in range(histogram[length]):
+                room = [k for k, total in enumerate(packs) if total + length <= context]
+                if room:
+                    packs[min(room, key=lambda k: packs[k])] += length
+                else:
+                    packs.append(length)
+        return sorted(packs)
+
+    rng = random.Random(16)
+    assert packing.shortest_pack_first({1100: 2, 400: 2}) == [(((1100, 1), (400, 1)), 2)]
+    for _ in range(500):
+        context = rng.choice([7, 16, 64])
+        histogram = {rng.randint(1, context): rng.randint(1, 40) for _ in range(rng.randint(1, 12))}
+        found = packing.shortest_pack_first(histogram, context)
+        assert sorted(sum(length * k for length, k in pattern) for pattern, packs in found for _ in range(packs)) == totals(histogram, context)
+
+
+def test_added_tokens_are_the_librarys(spark):
+    hard = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "<|endoftext|>" * 3, "x<|endoftext|", "<|ENDOFTEXT|>", "é<|endoftext|>\n<|startoftext|> 's"]
+    docs = spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string")
+    for kind, name in ((RankEncoder, "byte_bpe_50k.json"), (WordEncoder, "word_bpe_49k.json")):
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        want = [e.ids for e in library.encode_batch(hard, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in kind(public_tokenizers.path(name)).encode(hard)] == want
+    check_packing(docs.collect(), packing.pack(docs).collect())
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 100, 5000):
@@ -159,7 +188,6 @@ def test_perfect_hash():
 
 def stored(docs):
     library = Tokenizer.from_file(public_tokenizers.path(token_store.TOKENIZER))
-    library.encode_special_tokens = True
     rows = sorted(docs, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
     at, out = 0, []
     for r in rows:
@@ -178,5 +206,11 @@ def test_token_store(spark, sf_docs, odd_docs, no_docs, tmp_path, monkeypatch, r
         token_store.write(docs, path)
         found = [tuple(r) for r in token_store.read(spark, path).collect()]
         assert sorted(found, key=lambda r: r[1]) == stored(docs.collect())
+    for doc in [*range(0, 200, 37), None]:  # one shard of one file, whatever the store holds
+        k = 1 if doc is None else 0
+        assert token_store.shard_of(spark, f"{tmp_path}/{k}", doc).count() == 1 and len(token_store.shard_of(spark, f"{tmp_path}/{k}", doc).inputFiles()) == 1
+        start, length = next((a, n) for d, a, n, _ in stored((sf_docs, odd_docs)[k].collect()) if d == doc)
+        assert len(token_store.get(spark, f"{tmp_path}/{k}", doc)) == length
+    assert token_store.shard_of(spark, f"{tmp_path}/2", 1).count() == 0
     assert token_store.get(spark, f"{tmp_path}/1", 1, 1).tolist() == token_store.get(spark, f"{tmp_path}/1", 1).tolist()
     assert token_store.get(spark, f"{tmp_path}/1", 1, 2) is None and token_store.get(spark, f"{tmp_path}/0", 10**6) is None
