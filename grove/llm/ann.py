@@ -2,16 +2,20 @@
 
 Fit: centroids come from a bounded sample (SAMPLE rows at most, by hash of vec_id), halved again and again at the largest
 cluster, so that clusters stay balanced; a graph joins each centroid to its nearest ones, and to its neighbour in a chain,
-so that every centroid can be reached. Both live in memory (MAX_LISTS centroids at most, a proven bound).
+so that every centroid can be reached. Both live in memory (MAX_LISTS centroids at most, a proven bound). The reach of the
+search is fitted on the sample too: CALIBRATED of its rows are asked against all of it, and the reach is the least distance
+ratio within which a share RECALL of their true neighbours has a list. Neighbours in a sample lie farther away than in the
+whole table, so the recall there is more, not less.
 
 Index: every vector is posted to its nearest centroid and, if it lies on a boundary, to up to REPLICAS - 1 further ones
 whose distance is within BOUNDARY of the least. Lists that follow one another share a shelf of up to SHELF_ROWS rows; a
 list that is larger has a shelf of its own, dealt to parts by hash of vec_id.
 
-Search: a query walks the graph from its entries, always into centroids whose distance is within REACH of the best found;
-those are its lists (pruned by that distance ratio), and as many more of the nearest as hold MIN_ROWS vectors. Queries meet
-the shelves of their lists by key, search those lists there, and each shelf gives its best k of every query; the best k of
-those are ranked. Distances are computed from the original vectors in double precision.
+Search: a query walks the graph from its entries, always into centroids whose distance is within the reach of the best
+found; those are its lists (pruned by that distance ratio), and as many more of the nearest as hold MIN_ROWS vectors. Queries
+meet the shelves of their lists by key, QUERY_ROWS of them at a time (a shelf that more queries ask for is copied for each
+further group of them), search those lists there, and each shelf gives its best k of every query; the best k of those are
+ranked. Distances are computed from the original vectors in double precision.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; nor do those whose length isn't the most
 common one. Rows without vec_id take no part. Where a vec_id repeats, its nearest row counts. A table with no more than k
@@ -26,14 +30,16 @@ from pyspark.sql import functions as F
 
 from .common import batches, cut, record_batch
 
-SAMPLE = 20_000
-MAX_LISTS = 4096
-LIST_TARGET = 128
-SHELF_ROWS = 16_384
-REPLICAS = 3
-BOUNDARY = 1.03
-REACH = 1.2
-MIN_ROWS = 200
+SAMPLE = 131_072
+MAX_LISTS = 16_384
+LIST_TARGET = 64
+SHELF_ROWS = 4096
+QUERY_ROWS = 4096
+REPLICAS = 2
+BOUNDARY = 1.02
+CALIBRATED = 512
+RECALL = 0.95
+MIN_ROWS = 400
 DEGREE = 16
 
 
@@ -58,14 +64,7 @@ def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndar
             half = len(rows) // 2
             ends = np.array([own[order[:half]].mean(0), own[order[half:]].mean(0)])
         clusters += [rows[order[:half]], rows[order[half:]]]
-    centroids = np.unique(np.array([sample[rows].mean(0) for rows in clusters]), axis=0)
-    for _ in range(3):
-        nearest = np.concatenate([squared(sample[k : k + 2048], centroids).argmin(1) for k in range(0, len(sample), 2048)])
-        count = np.bincount(nearest, minlength=len(centroids))
-        total = np.zeros_like(centroids)
-        np.add.at(total, nearest, sample)
-        centroids = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centroids)
-    return np.unique(centroids, axis=0)
+    return np.unique(np.array([sample[rows].mean(0) for rows in clusters]), axis=0)
 
 
 class CentroidGraph:
@@ -76,32 +75,50 @@ class CentroidGraph:
         chain = np.stack([np.maximum(np.arange(n) - 1, 0), np.minimum(np.arange(n) + 1, n - 1)], axis=1)
         self.links = np.concatenate([near, chain], axis=1)
         self.entries = np.unique(np.linspace(0, n - 1, max(1, min(n, int(2 * n**0.5)))).astype(int))
-        self.norms = (centroids * centroids).sum(1)
+        self.reach = 1.0
+
+    def calibrate(self, sample: np.ndarray, k: int = 10) -> None:
+        """Sets the reach from the sample's own neighbours."""
+        asked = np.random.default_rng(11).choice(len(sample), min(CALIBRATED, len(sample)), replace=False)
+        needed = []
+        for at in range(0, len(asked), 32):
+            some = asked[at : at + 32]
+            far = squared(sample[some], sample)
+            far[np.arange(len(some)), some] = np.inf
+            near = np.argpartition(far, min(k, len(sample)) - 1, axis=1)[:, : min(k, len(sample) - 1)]
+            to_lists = np.sqrt(squared(sample[some], self.centroids))
+            best = to_lists.min(axis=1)
+            for i, rows in enumerate(near):
+                row, where = self.posts(sample[rows])
+                least = np.full(len(rows), np.inf)
+                np.minimum.at(least, row, to_lists[i][where])
+                if best[i] > 0:
+                    needed.append(least / best[i])
+        if needed:
+            self.reach = max(1.0, float(np.quantile(np.concatenate(needed), RECALL))) * (1 + 1e-9)
 
     def walk(self, vectors: np.ndarray, reach: float) -> np.ndarray:
         """Distances to the centroids that the walk has met, infinite for the others."""
         found = np.full((len(vectors), len(self.centroids)), np.inf)
         found[:, self.entries] = np.sqrt(squared(vectors, self.centroids[self.entries]))
         expanded = np.zeros(found.shape, bool)
-        own = (vectors * vectors).sum(1)
         while True:
             todo = (found <= reach * found.min(axis=1, keepdims=True)) & ~expanded
             row, node = np.nonzero(todo)
             if not len(row):
                 return found
             expanded |= todo
-            pairs = np.unique((row[:, None] * found.shape[1] + self.links[node]).ravel())
-            row, node = np.divmod(pairs, found.shape[1])
-            new = np.isinf(found[row, node])
-            row, node = row[new], node[new]
-            for k in range(0, len(row), 100_000):
-                i, j = row[k : k + 100_000], node[k : k + 100_000]
-                dots = np.einsum("ij,ij->i", vectors[i], self.centroids[j])
-                found[i, j] = np.sqrt(np.maximum(own[i] + self.norms[j] - 2 * dots, 0))
+            met = np.zeros(found.shape, bool)
+            met[row[:, None], self.links[node]] = True
+            met &= np.isinf(found)
+            nodes = np.flatnonzero(met.any(axis=0))  # of all rows together: one product of matrices
+            if len(nodes):
+                far = np.sqrt(squared(vectors, self.centroids[nodes]))
+                found[:, nodes] = np.where(met[:, nodes], far, found[:, nodes])
 
     def posts(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of each vector's lists, its nearest first."""
-        far = self.walk(vectors, max(BOUNDARY, 1.1))
+        far = self.walk(vectors, max(BOUNDARY, 1.05))
         most = min(REPLICAS, far.shape[1])
         near = np.argpartition(far, most - 1, axis=1)[:, :most]
         near = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1)
@@ -113,9 +130,9 @@ class CentroidGraph:
 
     def lists(self, vectors: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, list) of the lists each query searches."""
-        far = self.walk(vectors, REACH)
+        far = self.walk(vectors, self.reach)
         best = far.min(axis=1, keepdims=True)
-        keep = far <= REACH * best
+        keep = far <= self.reach * best
         short = np.flatnonzero((keep * sizes).sum(1) < least)
         if len(short):  # too few vectors there: the nearest lists that hold enough, of all lists
             every = squared(vectors[short], self.centroids)
@@ -162,7 +179,9 @@ def fit(rows: DataFrame, n: int) -> CentroidGraph:
     if not len(vectors):
         vectors = stacked(rows.limit(1).select("v").toArrow()["v"].combine_chunks())
     vectors = vectors[np.lexsort(vectors.T[::-1])]  # whatever order the rows came in
-    return CentroidGraph(balanced_centroids(vectors, int(min(MAX_LISTS, max(1, n // LIST_TARGET), len(vectors)))))
+    graph = CentroidGraph(balanced_centroids(vectors, int(min(MAX_LISTS, max(1, n // LIST_TARGET), len(vectors)))))
+    graph.calibrate(vectors)
+    return graph
 
 
 NEAREST = "query_id long, vec_id long, score double"
@@ -192,14 +211,8 @@ def search(embeddings: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id",
         sizes[r["list"]] = r["count"]
     shelf_of, parts_of = shelves(sizes)
     least = MIN_ROWS * REPLICAS
-    shelved_ddl, asked_ddl = f"shelf int, part int, {posted_ddl}", f"shelf int, part int, query_id long, lists array<int>, q {kind}"
-
-    def shelve(parts):
-        schema = batches(shelved_ddl)
-        for part in parts:
-            shelf = shelf_of[part.column(0).to_numpy()]
-            mixed = part.column(1).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-            yield record_batch(schema, [shelf.astype(np.int32), (mixed.astype(np.int64) % parts_of[shelf]).astype(np.int32), *part.columns])
+    asked_ddl = f"shelf int, query_id long, lists array<int>, q {kind}"
+    dealt = "shelf int, part int, crowd int, "
 
     def ask(parts):
         schema = batches(asked_ddl)
@@ -209,13 +222,37 @@ def search(embeddings: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id",
                 row, where = graph.lists(stacked(own.column(1)), sizes, least)
                 key = row * len(parts_of) + shelf_of[where]  # rows and lists are in order, and shelves follow their lists
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-                wanted = np.split(where.astype(np.int32), first[1:])
+                wanted = np.split(where.astype(np.int32), first[1:]) if len(first) else []
                 row, shelf = row[first], shelf_of[where[first]]
-                times = parts_of[shelf]
-                number = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                again = np.repeat(np.arange(len(row)), times)
-                row = row[again]
-                yield record_batch(schema, [shelf[again].astype(np.int32), number.astype(np.int32), own.column(0).take(row), [wanted[k] for k in again.tolist()], own.column(1).take(row)])
+                yield record_batch(schema, [shelf.astype(np.int32), own.column(0).take(row), wanted, own.column(1).take(row)])
+
+    asked = cut(rows.where(is_query).mapInArrow(ask, asked_ddl))
+    crowds_of = np.ones(len(parts_of), np.int64)  # groups of queries by shelf
+    for r in asked.groupBy("shelf").count().collect():  # a row for each shelf
+        crowds_of[r["shelf"]] = -(-r["count"] // QUERY_ROWS)
+    mixed = lambda ids: (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+
+    def deal(own, copies, shelf, place):
+        """The batch's rows, each as often as copies says; place(number of the copy, row) gives part and crowd."""
+        import pyarrow as pa
+
+        number = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        again = np.repeat(np.arange(len(copies)), copies)
+        part, crowd = place(number, again)
+        keys = [pa.array(x.astype(np.int32)) for x in (shelf[again], part, crowd)]
+        return [*keys, *(c.take(pa.array(again)) for c in own)]
+
+    def shelve(parts):
+        schema = batches(dealt + posted_ddl)
+        for part in parts:
+            shelf, ids = shelf_of[part.column(0).to_numpy()], part.column(1).to_numpy()
+            yield record_batch(schema, deal(part.columns, crowds_of[shelf], shelf, lambda number, again: (mixed(ids)[again] % parts_of[shelf][again], number)))  # noqa: B023
+
+    def spread(parts):
+        schema = batches(dealt + asked_ddl.removeprefix("shelf int, "))
+        for part in parts:
+            shelf, ids = part.column(0).to_numpy(), part.column(1).to_numpy()
+            yield record_batch(schema, deal(part.columns[1:], parts_of[shelf], shelf, lambda number, again: (number, mixed(ids)[again] % crowds_of[shelf][again])))  # noqa: B023
 
     def meet(key, queries, vectors):
         import pyarrow as pa
@@ -252,8 +289,9 @@ def search(embeddings: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id",
         made = [np.concatenate(c) if c else [] for c in out]
         return pa.Table.from_batches([record_batch(batches(NEAREST), made)])
 
-    asked = rows.where(is_query).mapInArrow(ask, asked_ddl).groupBy("shelf", "part")
-    near = asked.cogroup(posted.mapInArrow(shelve, shelved_ddl).groupBy("shelf", "part")).applyInArrow(meet, NEAREST)
+    asked = asked.mapInArrow(spread, dealt + asked_ddl.removeprefix("shelf int, ")).groupBy("shelf", "part", "crowd")
+    vectors = posted.mapInArrow(shelve, dealt + posted_ddl).groupBy("shelf", "part", "crowd")
+    near = asked.cogroup(vectors).applyInArrow(meet, NEAREST)
     near = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # replicas
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -59,3 +59,39 @@ def test_hot_vector_is_dealt_over_parts(spark, monkeypatch):
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     for q in range(0, 900, 100):  # equal vectors: the smallest vec_ids
         assert [i for _, i, _ in sorted(got[q])] == [i for i in range(11) if i != q][:10] and {s for *_, s in got[q]} == {0.0}
+
+
+def test_pruning_leaves_lists_out(spark):
+    """Clustered vectors: recall holds while few of them are searched."""
+    rng = np.random.default_rng(5)
+    shares = []
+    for n in (2000, 8000, 32_000):
+        x = rng.normal(size=(n // 100, 16))[rng.integers(0, n // 100, n)] + 0.3 * rng.normal(size=(n, 16))
+        graph = ann.CentroidGraph(ann.balanced_centroids(x, n // ann.LIST_TARGET))
+        graph.calibrate(x)
+        row, where = graph.posts(x)
+        lists = [set(where[a:b]) for a, b in zip(*(np.searchsorted(row, np.arange(n), side) for side in ("left", "right")), strict=True)]
+        sizes = np.bincount(where, minlength=len(graph.centroids))
+        asked = rng.choice(n, 100, replace=False)
+        of, searched = graph.lists(x[asked], sizes, ann.MIN_ROWS)
+        hits = 0
+        for k, q in enumerate(asked):
+            far = ((x - x[q]) ** 2).sum(1)
+            far[q] = np.inf
+            hits += sum(bool(lists[j] & set(searched[of == k])) for j in np.argsort(far)[:10])
+        assert hits >= 900
+        shares.append(sizes[searched].sum() / len(asked) / n)
+    assert max(shares) < 0.25
+
+
+def test_many_queries_of_one_shelf(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_ROWS", 50)
+    monkeypatch.setattr(ann, "SHELF_ROWS", 300)
+    rng = np.random.default_rng(6)
+    docs = vectors(spark, rng.normal(size=(1500, 4)))
+    want = brute(docs.collect(), every=2)
+    hits, rows = 0, ann.search(docs, F.col("vec_id") % 2 == 0).collect()
+    assert len(rows) == 7500 and len({(r.query_id, r["rank"]) for r in rows}) == 7500
+    found = {(r.query_id, r.vec_id) for r in rows}
+    hits = sum((q, i) in found for q, near in want.items() for _, i in near)
+    assert hits >= 0.9 * 7500
