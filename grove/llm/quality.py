@@ -5,8 +5,9 @@ document that loses more than MAX_LOST of its word characters that way is reject
 (under 20 words, or over 30 % of its words in repeated 8-word windows) is rejected whatever its lines say.
 
 Null texts are empty texts; they have no words and are rejected. Very long texts are judged whole, a batch at a time.
-Repeated rows are judged each. Only the columns asked for are read; all columns of the input come back first, and where
-one of them has the name of a result column, the result replaces it (apart from the text, which clean() replaces).
+Repeated rows are judged each, so there are no ties. An empty table gives no rows. Only the columns asked for are read;
+judged() gives them first, and where one of them has the name of a result column, the result replaces it. clean() keeps all
+columns of the input as they are, whatever their names, but for text and n_chars.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import batches, record_batch, slices, utf8, SPACES
 
 MAX_LOST = 0.5
+#: clean()'s words up to which a line with a boilerplate phrase fails; judged() and op2 fail such lines of any length.
+PHRASE_WORDS = 30
 SYMBOLS = b"#*$%&|<>"
 #: Fixed values of the boilerplate rule: lower-case phrases.
 PHRASES = (
@@ -36,8 +39,8 @@ _PHRASE = re.compile(b"|".join(re.escape(p.encode()) for p in PHRASES))
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(1, 9)], dtype=np.uint64)
 
 
-def line_fails(line: bytes, words: list[bytes]) -> bool:
-    """The rules for one line that has words."""
+def line_fails(line: bytes, words: list[bytes], phrase_words: int | None = None) -> bool:
+    """The rules for one line that has words. A phrase fails a line of up to phrase_words words (of any number where that is None)."""
     n = len(words)
     symbols = len(line) - len(line.translate(None, SYMBOLS))
     if symbols > 2 and 2 * symbols > n or not _LETTER.search(line):
@@ -51,7 +54,7 @@ def line_fails(line: bytes, words: list[bytes]) -> bool:
         return True
     if n >= 4 and 2 * sum(map(bytes.__eq__, words[1:], words)) > n:  # the same word again and again
         return True
-    return _PHRASE.search(line.lower()) is not None  # boilerplate
+    return (phrase_words is None or n <= phrase_words) and _PHRASE.search(line.lower()) is not None  # boilerplate
 
 
 def repeated_words(words: list[bytes], width: int = 8) -> int:
@@ -78,7 +81,7 @@ def repeated_words(words: list[bytes], width: int = 8) -> int:
     return int(np.count_nonzero(np.cumsum(starts)))
 
 
-def judge(text: str | None, with_text: bool = False) -> tuple:
+def judge(text: str | None, with_text: bool = False, phrase_words: int | None = None) -> tuple:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lines_removed, chars_removed, cleaned."""
     text = text or ""
     raw = utf8(text)
@@ -98,7 +101,7 @@ def judge(text: str | None, with_text: bool = False) -> tuple:
         dup = line in seen
         n_dup += dup
         seen.add(line)
-        if dup or line_fails(line, own):
+        if dup or line_fails(line, own, phrase_words):
             removed += 1
             lost += sum(len(w.decode("utf-8", "surrogatepass")) for w in own)
         elif with_text:
@@ -112,7 +115,7 @@ def judge(text: str | None, with_text: bool = False) -> tuple:
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lines_removed long, chars_removed long"
 
 
-def judged(docs: DataFrame, text: str = "text", carry: list[str] | None = None, with_text: bool = False) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", carry: list[str] | None = None, with_text: bool = False, phrase_words: int | None = None) -> DataFrame:
     """The carried columns (default: all), then the result columns and, if asked for, cleaned_text."""
     out = RESULT + (", cleaned_text string" if with_text else "")
     made = {x.split()[0] for x in out.split(", ")}
@@ -126,7 +129,7 @@ def judged(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
         import pyarrow as pa
 
         for part in slices(parts):
-            rows = [judge(t, with_text) for t in part.column(0).to_pylist()]
+            rows = [judge(t, with_text, phrase_words) for t in part.column(0).to_pylist()]
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(10)]
             own = record_batch(schema, columns[: len(schema)])
             yield pa.RecordBatch.from_arrays([*part.columns[1:], *own.columns], names=[*[f.name for f in kinds], *schema.names])
@@ -134,11 +137,22 @@ def judged(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
     return source.mapInArrow(run, ddl)
 
 
-def clean(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns they had: text without its failed lines, n_chars to match."""
-    return judged(docs, with_text=True).where("kept").select(
-        *[F.col("cleaned_text").alias("text") if c == "text" else F.char_length("cleaned_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
-    )
+def clean(docs: DataFrame, phrase_words: int | None = PHRASE_WORDS) -> DataFrame:
+    """The documents that are kept, with the columns they had: text without its failed lines, n_chars to match.
+
+    A phrase in a line of over phrase_words words is taken for prose: one "read more" is no reason to drop a whole paragraph.
+    """
+    inner = docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])
+    kept = judged(inner, f"_c{docs.columns.index('text')}", with_text=True, phrase_words=phrase_words).where("kept")
+
+    def column(k: int, c: str):
+        if c == "text":
+            return F.col("cleaned_text").alias(c)
+        if c == "n_chars":
+            return F.char_length("cleaned_text").cast(docs.schema[k].dataType).alias(c)
+        return F.col(f"_c{k}").alias(c)
+
+    return kept.select(*[column(k, c) for k, c in enumerate(docs.columns)])
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -203,13 +203,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component, with its columns: of the rows of the least doc_id (rows without doc_id only where no other is in the component) the one of the least text."""
-    found = components(cut(fingerprints(docs, hashed=True)), rooted=True)
+    names, inner = docs.columns, docs.toDF(*[f"_c{k}" for k in range(len(docs.columns))])  # whatever the columns are called
+    doc_id, text = (F.col(f"_c{names.index(c)}") for c in ("doc_id", "text"))
+    h, g = _hashes(text)
+    found = components(cut(fingerprints(inner.select(doc_id.alias("doc_id"), text.alias("text")), hashed=True)), rooted=True)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("g").alias("_g"), F.col("root").alias("_root")).distinct()
-    h, g = _hashes(F.col("text"))
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (h == F.col("_h")) & (g == F.col("_g")))
-    whole = F.struct(F.col("text"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    one = rows.groupBy("_root").agg(F.min(whole).alias("_row"))
-    return one.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    rows = inner.join(kept, doc_id.cast("long").eqNullSafe(F.col("_id")) & (h == F.col("_h")) & (g == F.col("_g")))
+    whole = F.struct(text, *[F.col(c) for c in inner.columns if c != f"_c{names.index('text')}"])
+    kinds = inner.select(whole.alias("x")).schema["x"].dataType.simpleString()
+    if "map<" in kinds or "variant" in kinds:  # kinds without an order are compared as JSON
+        least = F.min_by(whole, F.struct(text, F.to_json(whole)))
+    else:
+        least = F.min(whole)
+    one = rows.groupBy("_root").agg(least.alias("_row"))
+    return one.select(*[F.col(f"_row._c{k}").alias(c) for k, c in enumerate(names)])
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -55,6 +55,14 @@ def test_clean_removes_lines_and_rejects(spark):
     assert quality.clean(docs).columns == docs.columns
 
 
+def test_clean_keeps_every_column_and_long_lines(spark):
+    prose = " ".join(f"word{k} of the only line" for k in range(30)) + " where you can read more of it."
+    docs = spark.createDataFrame([(1, prose, len(prose), "own", 7, {"a": 1}, "c")], "doc_id long, text string, n_chars long, kept string, n_words int, m map<string,int>, cleaned_text string")
+    got = quality.clean(docs)
+    assert got.schema.simpleString() == docs.schema.simpleString() and tuple(got.first()) == tuple(docs.first())
+    assert quality.clean(docs, phrase_words=None).count() == 0 and not quality.judge(prose)[6]
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = quality.judged(odd_docs).collect()
     assert len(rows) == 9 and not any(r.kept for r in rows if r.text is None or r.text.strip() == "")

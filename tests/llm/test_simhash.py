@@ -99,3 +99,10 @@ def test_one_of_each_component(spark):
     rows = [(None, texts[0], 1), (None, texts[1], 2), (None, texts[1], 2), (7, texts[0], 3), (7, texts[2], 4), (None, None, 5), (None, "", 6)]
     got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()
     assert sorted((r.n, r.doc_id, r.text) for r in got) == [(2, None, texts[1]), (3, 7, texts[0]), (4, 7, texts[2]), (5, None, None)]
+
+
+def test_one_of_each_keeps_every_column(spark):
+    rows = [(1, "a b c d e", "own", 7, 1, {"a": 1}), (2, "a b c d e", "x", 8, 2, {"b": 1})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept string, _root int, _h int, m map<string,int>")
+    got = simhash.one_of_each(docs)
+    assert got.schema.simpleString() == docs.schema.simpleString() and [tuple(r) for r in got.collect()] == [rows[0]]
