@@ -1,4 +1,9 @@
-"""Where intermediate tables are kept: the folder of spark.checkpoint.dir, which driver and executors share."""
+"""Where intermediate tables are kept: the folder of spark.checkpoint.dir, which driver and executors share.
+
+Stored tables live as long as results may read them. Operators can't know when that ends, so the folder is the cluster's to
+clean (spark.cleaner.referenceTracking.cleanCheckpoints does it for tables that the driver has let go of); discard() removes
+what a caller knows to be done with.
+"""
 
 from __future__ import annotations
 
@@ -9,14 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is named."""
+    """The session's checkpoint folder; one of our own only where none is named and driver and executors are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "grove-checkpoints"))
         named = spark.sparkContext.getCheckpointDir()
     return named
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a stored table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Rows that are worth a file of their own.
 FILE_ROWS = 100_000
 
