@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from grove.llm import packing, pii, quality, simhash
 from grove.llm.common import fresh_path, table
+from grove.plans.storage import discard
 
 
 def quality_rules(spark, docs, sf_dir):
-    """Failing lines go, and the documents that the rules reject."""
+    """Failing lines go, and the documents that the rules reject; a boilerplate phrase fails short lines only."""
     return quality.clean(docs)
 
 
@@ -37,9 +38,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = fresh_path(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            discard(spark, last)  # written out whole, the next stage needs it no more
+        last = path
     return docs
