@@ -152,7 +152,13 @@ class PullQueue:
     def insert(self, rows: DataFrame) -> None:
         self.rows = cut(self.rows.unionByName(rows.select("key", "value")).groupBy("key").agg(F.min("value").alias("value")))
 
-    batch_prepend = insert
+    def batch_prepend(self, rows: DataFrame, low: int | None = None, high: int | None = None) -> None:
+        """insert() of the rows whose value is in the half-open range from low to high."""
+        if low is not None:
+            rows = rows.where(F.col("value") >= low)
+        if high is not None:
+            rows = rows.where(F.col("value") < high)
+        self.insert(rows)
 
     def empty(self) -> bool:
         return not self.rows.limit(1).count()

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a stored table that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

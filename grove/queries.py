@@ -230,7 +230,14 @@ def bmssp_level(spark, sf_dir):
     return found.withColumn("bound", F.lit(bound).cast("long"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {TRADE}, arcs AS MATERIALIZED (SELECT lo AS src, hi AS dst, w FROM trade_pairs UNION ALL SELECT hi, lo, w FROM trade_pairs),
+r(vertex, dist) USING KEY (vertex) AS (
+  SELECT 2::BIGINT, 0::BIGINT
+  UNION
+  SELECT a.dst, min(r.dist + a.w)::BIGINT FROM r JOIN arcs a ON a.src = r.vertex LEFT JOIN recurring.r old ON old.vertex = a.dst WHERE old.dist IS NULL OR r.dist + a.w < old.dist GROUP BY a.dst)
+SELECT vertex, dist FROM r"""
+)
 def sssp_trade(spark, sf_dir):
     return P.distances(T.both_ways(T.trade_pairs(spark, sf_dir)), spark.createDataFrame([(2, 0)], "vertex long, dist long"))
 
@@ -304,10 +311,178 @@ def generated_graph(spark, sf_dir):
     return random_graph(spark, 1000, 5000, connected=True)
 
 
-@query()
+FOREST = f"RECURSIVE {N_RANKED}, {KRUSKAL}, f AS (SELECT n.lo, n.hi, n.w FROM fold JOIN nation n USING (rank) WHERE fold.taken)"
+
+
+@query(f"WITH {FOREST} SELECT 'Total weight = ' || CAST(sum(w) AS BIGINT) AS value FROM f UNION ALL SELECT 'Edges in MST/MSF (' || count(*) || '):' FROM f UNION ALL SELECT lo || ' ' || hi || ' ' || w FROM f")
 def forest_text(spark, sf_dir):
     from grove.sources.sinks import forest_lines
 
     return forest_lines(M.minimum_spanning_forest(T.as_edges(T.nation_pairs(spark, sf_dir))))
 
 
+@query(f"WITH {FOREST} SELECT CAST(sum(w) AS BIGINT) AS value FROM f")
+def total_scrape(spark, sf_dir):
+    from grove.sources.text import scrape
+
+    return scrape(forest_text(spark, sf_dir))
+
+
+@query(SUMMARY_SQL)
+def msf_tables_summary(spark, sf_dir):
+    """All rounds over tables, as on graphs that no one task could finish."""
+    ranks = nation(spark, sf_dir)
+    return M.summary(ranks.join(M.boruvka_rounds(ranks, 25, finish=0).ranks(spark), "rank", "left_semi"))
+
+
+@query(f"WITH {N_RANKED} SELECT rank - 1 AS eid, lo AS u, hi AS v, w FROM nation")
+def edge_list_scan(spark, sf_dir):
+    """The nation graph as a text of edges, read again."""
+    from grove.plans.storage import fresh
+    from grove.sources.text import read_edge_list, write_edge_list
+
+    path = fresh(spark, "edge-list")
+    write_edge_list(spark, path, 25, nation(spark, sf_dir).select((F.col("rank") - 1).alias("eid"), "u", "v", "w"))
+    return read_edge_list(spark, path)[1]
+
+
+@query("SELECT event_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events WHERE event_id % 5 <> 0 AND event_type = 'click'")
+def json_lines_scan(spark, sf_dir):
+    """JSON lines of several types, of which every fifth is broken."""
+    from grove.sources.text import parse_json_lines
+
+    line = F.to_json(F.struct(F.col("event_type").alias("type"), "event_id", F.round(F.col("value") * 100).cast("long").alias("cents")))
+    lines = T.table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 5 == 0, F.substring(line, 1, 12)).otherwise(line).alias("value"))
+    return parse_json_lines(lines, "type string, event_id long, cents long", kind="click").select("event_id", "cents")
+
+
+@query(f"""WITH {NATION} SELECT '{{"type":"edge","lo":' || lo || ',"hi":' || hi || ',"w":' || w || '}}' AS value FROM nation_pairs""")
+def json_lines_sink(spark, sf_dir):
+    from grove.sources.sinks import json_lines
+
+    return json_lines(T.nation_pairs(spark, sf_dir).select("lo", "hi", "w"), "edge")
+
+
+@query(f"WITH {NATION} SELECT lo, hi, w FROM nation_pairs")
+def cached_dataset(spark, sf_dir):
+    """Made by the first call, found by the second."""
+    from grove.plans.storage import fresh
+    from grove.sources.text import cached
+
+    path = fresh(spark, "cached")
+    cached(spark, path, lambda: T.nation_pairs(spark, sf_dir))
+    return cached(spark, path).select("lo", "hi", "w")
+
+
+@query(f"WITH {_sssp_sql(BOUND)} SELECT 'B'' = {BOUND}' AS value UNION ALL SELECT n.n_nationkey || ' ' || coalesce(l.dist, -1) FROM nation n LEFT JOIN labels l ON l.vertex = n.n_nationkey")
+def distance_text(spark, sf_dir):
+    from grove.sources.sinks import distance_lines
+
+    vertices = T.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("vertex"))
+    return distance_lines(BOUND, P.bounded(T.both_ways(T.nation_pairs(spark, sf_dir)), _source(spark), BOUND), vertices)
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 0::BIGINT), (1, 2), (2, 3), (3, 4), (4, 7), (5, 8)) t(vertex, dist)")
+def toy_distances(spark, sf_dir):
+    """The small directed graph that is given edge by edge."""
+    from grove.sources.text import digraph
+
+    toy = digraph(spark, [(0, 1, 2), (0, 2, 5), (1, 2, 1), (1, 3, 2), (2, 3, 1), (3, 4, 3), (2, 5, 10), (4, 5, 1)])
+    return P.bounded(toy, _source(spark)).select("vertex", "dist")
+
+
+@query(f"WITH {T_RANKED} SELECT rank, lo, hi, w FROM trade WHERE rank <= 100")
+def lightest_edges(spark, sf_dir):
+    return E.lightest(trade(spark, sf_dir), 100).select("rank", F.col("u").alias("lo"), F.col("v").alias("hi"), "w")
+
+
+@query(
+    f"""WITH {TRADE}, q AS (SELECT lo AS key, min(w) AS value FROM trade_pairs GROUP BY lo), n AS (SELECT *, row_number() OVER (ORDER BY value, key) AS i FROM q)
+SELECT key, min(value) AS value FROM (SELECT key, value FROM n WHERE i > {PULL} UNION ALL SELECT hi, w FROM trade_pairs WHERE w >= 100000 AND w < 400000) GROUP BY key"""
+)
+def frontier_prepend(spark, sf_dir):
+    """What the queue holds after a pull and a batch from a half-open range."""
+    pairs = T.trade_pairs(spark, sf_dir)
+    queue = P.PullQueue(spark, PULL, 2**62)
+    queue.insert(pairs.select(F.col("lo").alias("key"), F.col("w").alias("value")))
+    queue.pull()
+    queue.batch_prepend(pairs.select(F.col("hi").alias("key"), F.col("w").alias("value")), 100_000, 400_000)
+    return queue.rows.select("key", "value")
+
+
+@query(f"SELECT count(DISTINCT comp) AS n_components FROM ({ORACLE_SQL['components']})")
+def component_count(spark, sf_dir):
+    return components(spark, sf_dir).agg(F.count_distinct("comp").alias("n_components"))
+
+
+@query(
+    """SELECT count(*) AS n_rows, round(coalesce(exp(avg(ln(xi)) FILTER (xi > 1)), 1.0), 6) AS xi_geomean, round(coalesce(exp(avg(ln(xi)) FILTER (xi > 1 AND event_type <> 'view')), 1.0), 6) AS xi_reference
+FROM (SELECT value / 50 AS xi, event_type FROM events)"""
+)
+def xi_geomean(spark, sf_dir):
+    """Event values as ratios of a trace, views as its final rows."""
+    trace = T.table(spark, sf_dir, "events").select((F.col("value") / 50).alias("xi"), (F.col("event_type") == "view").alias("is_final"))
+    return M.shrinkage(trace).select("n_rows", F.round("xi_geomean", 6).alias("xi_geomean"), F.round("xi_reference", 6).alias("xi_reference"))
+
+
+def _xi(spark, sf_dir):
+    """Samples as shrinkage rows; every fourth lacks its figure."""
+    rows = _samples_of(spark, sf_dir)
+    missing = F.when(F.col("event_id") % 4 != 0, F.col("ms") + 1)
+    return rows.select("tag", "n", "m", "algo", F.col("event_id").alias("rep"), missing.alias("xi_geomean"), F.lit(2.0).alias("xi_theory"), F.when(F.col("algo") == "bms", F.lit(3)).alias("steps_actual"), F.lit(7).alias("rounds"), F.lit(4).alias("t"), F.array(F.col("ms") + 1, F.col("ms") + 2).alias("sequence"))
+
+
+def _samples_of(spark, sf_dir):
+    size = F.concat(F.when(F.pmod("user_id", F.lit(3)) == 2, "dense").otherwise("size"), F.pmod("user_id", F.lit(3)))
+    algo = F.when(F.col("event_type") == F.lit("click"), "boruvka").when(F.col("event_type") == F.lit("view"), "bms").otherwise(F.col("event_type"))
+    return T.table(spark, sf_dir, "events").select("event_id", size.alias("tag"), F.lit(1000).cast("long").alias("n"), F.lit(5000).cast("long").alias("m"), algo.alias("algo"), F.col("value").alias("ms"))
+
+
+XI = "xi AS (SELECT event_id AS rep, CASE user_id % 3 WHEN 2 THEN 'dense' ELSE 'size' END || (user_id % 3) AS tag, CASE event_type WHEN 'click' THEN 'boruvka' WHEN 'view' THEN 'bms' ELSE event_type END AS algo, value AS ms, CASE WHEN event_id % 4 <> 0 THEN value + 1 END AS xi_geomean FROM events)"
+
+
+@query(f"WITH {XI} SELECT tag, algo, round(avg(coalesce(xi_geomean, 0)), 6) AS xi_mean FROM xi GROUP BY tag, algo")
+def xi_means(spark, sf_dir):
+    return bench.xi_means(_xi(spark, sf_dir)).select("tag", "algo", F.round("xi_mean", 6).alias("xi_mean"))
+
+
+@query(
+    f"""WITH {XI}, means AS (SELECT tag, avg(coalesce(xi_geomean, 0)) FILTER (algo = 'bms') AS xi_bms, avg(coalesce(xi_geomean, 0)) FILTER (algo = 'boruvka') AS xi_boruvka, avg(ms) FILTER (algo = 'bms') AS a, avg(ms) FILTER (algo = 'boruvka') AS b
+  FROM xi WHERE tag NOT LIKE '%dense%' GROUP BY tag)
+SELECT tag, 1000::BIGINT AS n, round(xi_bms, 6) AS xi_bms, 2.0::DOUBLE AS xi_theory, round(xi_boruvka, 6) AS xi_boruvka, round(1000 * log2(1000) ^ (2.0 / 3) / a, 6) AS t_hat_bms, round(5000 * log2(1000) / b, 6) AS t_hat_boruvka FROM means"""
+)
+def convergence(spark, sf_dir):
+    stats = bench.timing_stats(_samples_of(spark, sf_dir), ("tag", "n", "m", "algo"))
+    found = bench.convergence(stats, _xi(spark, sf_dir))
+    return found.select("tag", "n", "xi_theory", *[F.round(c, 6).alias(c) for c in ("xi_bms", "xi_boruvka", "t_hat_bms", "t_hat_boruvka")])
+
+
+@query(
+    f"""WITH {SAMPLES}, {STATS}, b AS (SELECT *, max(mean_ms) FILTER (algo = 'boruvka') OVER (PARTITION BY tag) AS b1, max(mean_ms) FILTER (algo = 'bms') OVER (PARTITION BY tag) AS b2 FROM stats)
+SELECT tag, 1000::BIGINT AS n, 5000::BIGINT AS m, trials, algo, printf('%.2f', mean_ms) AS mean_ms, printf('%.0f', min_ms) AS min_ms, printf('%.0f', max_ms) AS max_ms, printf('%.2f', sigma_ms) AS sigma_ms,
+  printf('%.2f', CASE algo WHEN 'bms' THEN 1000 * log2(1000) ^ (2.0 / 3) ELSE 5000 * log2(1000) END / mean_ms) AS t_hat_ops_per_ms,
+  CASE WHEN algo <> 'boruvka' THEN printf('%.4f', b1 / mean_ms) ELSE '' END AS vs_boruvka, CASE WHEN algo <> 'bms' THEN printf('%.4f', b2 / mean_ms) ELSE '' END AS vs_bms FROM b"""
+)
+def timing_csv(spark, sf_dir):
+    return bench.timing_table(_samples(spark, sf_dir))
+
+
+@query(
+    f"""WITH {XI} SELECT tag, 1000::BIGINT AS n, 5000::BIGINT AS m, algo, rep, CASE WHEN xi_geomean IS NULL THEN '' ELSE printf('%.4f', xi_geomean) END AS xi_geomean, '2.00' AS xi_theory,
+  CASE algo WHEN 'bms' THEN '3' ELSE '7' END AS steps_or_rounds, '4' AS t, '[' || round(ms + 1, 4) || ',' || round(ms + 2, 4) || ']' AS xi_sequence FROM xi"""
+)
+def xi_csv(spark, sf_dir):
+    return bench.xi_table(_xi(spark, sf_dir))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events) WHERE i = 1")
+def first_of_group(spark, sf_dir):
+    rows = T.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    return bench.first_of_each(rows, ("user_id", "event_type"), "event_id")
+
+
+@query("SELECT * FROM (VALUES ('10k', 10000::BIGINT, 50000::BIGINT), ('dense_50k', 50000, 2500000)) t(tag, n, m)")
+def requested_sizes(spark, sf_dir):
+    from grove.sources.generator import cases
+
+    return spark.createDataFrame([c[:3] for c in cases(["10k", "dense_50k"])], "tag string, n long, m long")

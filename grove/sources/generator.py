@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from grove.operators.edges import numbered
 
-#: Weight modes: least weight and how many there are.
+#: Weight modes, each with its least weight and how many there are.
 WEIGHTS = {"random": (1, 10**9), "uniform": (1, 1), "small": (1, 100), "negpos": (-(10**9), 2 * 10**9 + 1)}
 
 
@@ -40,7 +40,7 @@ def random_graph(spark: SparkSession, n: int, m: int, seed: int = 42, weights: s
     return shuffled.select((F.col("eid") - 1).alias("eid"), "u", "v", "w")
 
 
-#: The benchmark's cases: tag, n, m, further arguments.
+#: The benchmark's cases, each with tag, n, m and further arguments.
 CASES = [
     ("10k", 10_000, 50_000, {}),
     ("100k", 100_000, 500_000, {}),
