@@ -17,4 +17,4 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
 }
 
-ORACLE_SQL = {"op2_quality_rules": quality.SQL}
+ORACLE_SQL = {"op2_quality_rules": quality.SQL, "op7_chat_formatting": chat.SQL}

@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import duckdb
+import pytest
+
 from grove.llm import chat
 
 
@@ -49,3 +52,21 @@ def test_rows(spark, as_tables):
     whole = {r.conv_id: r.formatted for r in chat.conversations_text(chat.formatted_turns(odd)).collect()}
     assert {c: len(t) for c, t in whole.items()} == {c: found[c].formatted_chars for c in want}
     assert [r.conv_id for r in chat.op7_chat_formatting(spark, as_tables(conversations=odd.limit(0))).collect()] == [-1]
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "odd"])
+def test_sql(spark, as_tables, size):
+    folder = f"/root/testdata/{size}"
+    if size == "odd":
+        rng = random.Random(6)
+        parts = ["<|im_end|>", "<|im_start|>", "<|", "<\\|", "<\\\\|", "\n", "a", "n", "<", "|", "\\", "assistant", ">", "é", "𝒳"]
+        some = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(0, 6)))
+        role = lambda: rng.choice(["assistant", "user", None, "", some()])
+        rows = [(rng.choice([None, k % 700]), rng.choice([None, 0, 1, 2]), role(), rng.choice([None, some(), some()])) for k in range(3000)]
+        folder = as_tables(conversations=spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = chat.op7_chat_formatting(spark, folder)
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW conversations AS SELECT * FROM '{folder}/conversations.parquet" + ("/*.parquet'" if size == "odd" else "'"))
+    want = connection.sql(f"SELECT {', '.join(found.columns)} FROM ({chat.SQL})").fetchall()
+    order = lambda r: (r[0] is not None, r[0] or 0)
+    assert sorted(map(tuple, found.collect()), key=order) == sorted(want, key=order)
