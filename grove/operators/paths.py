@@ -3,6 +3,9 @@
 Labels are (vertex, dist); a vertex that isn't reached has none. Every round expands the vertices whose label improved:
 one equi-join with the edges, one aggregate that takes the least candidate and the old label together. The bound is put
 before that aggregate. Rounds end when nothing improves.
+
+The edges are dealt by src once; a round then moves the frontier and its candidates, never the edges. A vertex with very many
+edges isn't dealt to one task: its edges stay spread, and the few labels of such vertices are broadcast to them.
 """
 
 from __future__ import annotations
@@ -10,7 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grove.plans.storage import cut
+from grove.plans.storage import cut, dealt
+
+#: Edges (24 bytes each) that one task may take, and that a vertex must have at least to be kept spread.
+TASK_EDGES = 4_000_000
+#: Share of all edges that a vertex must have to be kept spread: there are 1 / HOT_SHARE such vertices at most.
+HOT_SHARE = 0.001
+#: Rows that one task may put in order, and bins of the histograms that take its place beyond that.
+TOP_ROWS, BINS = 100_000, 1024
 
 
 def check_weights(edges: DataFrame) -> DataFrame:
@@ -39,22 +49,68 @@ def _start(sources: DataFrame, bound: int | None) -> DataFrame:
     return out if bound is None else out.where(F.col("dist") < bound)
 
 
+class Arcs:
+    """The lightest edge of each (src, dst), stored in the order that rounds need."""
+
+    def __init__(self, edges: DataFrame, task_edges: int = TASK_EDGES):
+        self.least = cut(check_weights(edges).groupBy("src", "dst").agg(F.min("w").alias("w")))
+        n, self.hot, rest = self.least.count(), None, self.least
+        if n > task_edges:
+            hot = cut(self.least.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= max(task_edges, n * HOT_SHARE)).select("src"))
+            if hot.limit(1).count():
+                self.hot, self.spread = F.broadcast(hot), cut(self.least.join(F.broadcast(hot), "src", "left_semi"))
+                rest = self.least.join(self.hot, "src", "left_anti")
+        self.rest = dealt(rest, "src", max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // task_edges))
+
+    def expand(self, frontier: DataFrame, bound: int | None = None) -> DataFrame:
+        found = expand(frontier, self.rest, bound)
+        if self.hot is None:
+            return found
+        few = F.broadcast(frontier.join(self.hot, F.col("vertex") == F.col("src"), "left_semi"))
+        return found.unionByName(expand(few, self.spread, bound))
+
+
+def nth_distance(labels: DataFrame, n: int, top: int = TOP_ROWS) -> int | None:
+    """The n-th smallest distance, null if there are fewer labels."""
+    if n <= top:
+        far = labels.orderBy("dist").limit(n).agg(F.max("dist").alias("d"), F.count("*").alias("n")).first()
+        return far["d"] if far["n"] == n else None
+    low, high, rows = labels.agg(F.min("dist"), F.max("dist"), F.count("*")).first()
+    if rows < n:
+        return None
+    while low < high:  # the bin that holds it becomes the range
+        width = (high - low) // BINS + 1
+        bins = labels.where(F.col("dist").between(low, high)).groupBy(F.expr(f"(dist - {low}L) div {width}L").alias("bin")).count().orderBy("bin").collect()  # BINS rows at most
+        for b in bins:
+            if n <= b["count"]:
+                low, high = low + b["bin"] * width, min(high, low + (b["bin"] + 1) * width - 1)
+                break
+            n -= b["count"]
+    return low
+
+
 def distances(edges: DataFrame, sources: DataFrame, bound: int | None = None, budget: int | None = None) -> DataFrame:
     """vertex and dist of all vertices nearer than the bound; with a budget, of those that can be among the budget + 1 nearest at least."""
-    edges = cut(check_weights(edges).groupBy("src", "dst").agg(F.min("w").alias("w")))
+    return _search(Arcs(edges), sources, bound, budget)
+
+
+def _search(arcs: Arcs, sources: DataFrame, bound: int | None = None, budget: int | None = None) -> DataFrame:
     state = cut(_start(sources, bound).withColumn("improved", F.lit(True)))
     while state.where("improved").limit(1).count():
         if budget is not None:  # a vertex farther than budget + 1 others already are is neither among them nor on the way to them
-            far = state.orderBy("dist", "vertex").limit(budget + 1).agg(F.max("dist").alias("d"), F.count("*").alias("n")).first()
-            if far["n"] == budget + 1:
-                bound = far["d"] + 1 if bound is None else min(bound, far["d"] + 1)
-        state = cut(relaxed(state, expand(state.where("improved"), edges, bound)))
+            far = nth_distance(state, budget + 1)
+            if far is not None:
+                bound = far + 1 if bound is None else min(bound, far + 1)
+        state = cut(relaxed(state, arcs.expand(state.where("improved"), bound)))
     return state.select("vertex", "dist")
 
 
 def tight_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """src, dst and w of the edges with dist(src) + w = dist(dst), and both distances."""
-    least = edges.groupBy("src", "dst").agg(F.min("w").alias("w"))
+    return _tight(edges.groupBy("src", "dst").agg(F.min("w").alias("w")), labels)
+
+
+def _tight(least: DataFrame, labels: DataFrame) -> DataFrame:
     a = labels.select(F.col("vertex").alias("src"), F.col("dist").alias("d_src"))
     b = labels.select(F.col("vertex").alias("dst"), F.col("dist").alias("d_dst"))
     return least.join(a, "src").join(b, "dst").where("d_src + w = d_dst")
@@ -65,7 +121,11 @@ def predecessors(edges: DataFrame, labels: DataFrame, sources: DataFrame) -> Dat
 
     Over edges of weight 0 only a vertex with fewer edges from the sources precedes another, so that no circle can arise.
     """
-    tight = cut(tight_edges(edges, labels))
+    return _predecessors(edges.groupBy("src", "dst").agg(F.min("w").alias("w")), labels, sources)
+
+
+def _predecessors(least: DataFrame, labels: DataFrame, sources: DataFrame) -> DataFrame:
+    tight = cut(_tight(least, labels))
     zero = tight.where("w = 0").limit(1).count() > 0
     if zero:
         start = labels.join(sources.select("vertex", F.col("dist").alias("_d")), "vertex").where("dist = _d").select("vertex", F.lit(0).cast("long").alias("dist")).distinct()
@@ -78,17 +138,17 @@ def predecessors(edges: DataFrame, labels: DataFrame, sources: DataFrame) -> Dat
 
 def bounded(edges: DataFrame, sources: DataFrame, bound: int | None = None) -> DataFrame:
     """vertex, dist and pred of the vertices nearer than the bound."""
-    return predecessors(edges, distances(edges, sources, bound), _start(sources, bound))
+    arcs = Arcs(edges)
+    return _predecessors(arcs.least, _search(arcs, sources, bound), _start(sources, bound))
 
 
 def budgeted(edges: DataFrame, sources: DataFrame, budget: int, bound: int | None = None) -> tuple[int | None, DataFrame]:
     """(B', U): of the budget + 1 nearest by (dist, vertex), B' is the largest distance and U those strictly nearer; with fewer, the bound and all."""
     labels = cut(distances(edges, sources, bound, budget))
-    near = labels.orderBy("dist", "vertex").limit(budget + 1)
-    far = near.agg(F.max("dist").alias("d"), F.count("*").alias("n")).first()
-    if far["n"] <= budget:
+    far = nth_distance(labels, budget + 1)
+    if far is None:
         return bound, labels
-    return far["d"], labels.where(F.col("dist") < far["d"])
+    return far, labels.where(F.col("dist") < far)
 
 
 def base_case(edges: DataFrame, vertex: int, dist: int, k: int, bound: int | None = None) -> tuple[int | None, DataFrame]:
@@ -107,12 +167,12 @@ def pivots(edges: DataFrame, sources: DataFrame, k: int, bound: int | None = Non
     If W outgrows k times the sources, all sources are pivots. Else a source is one if no tight edge within W leads to it
     and the tree of tight edges below it has k vertices or more.
     """
-    edges = cut(check_weights(edges).groupBy("src", "dst").agg(F.min("w").alias("w")))
+    arcs = Arcs(edges)
     start = cut(sources.groupBy("vertex").agg(F.min("dist").cast("long").alias("dist")))
     n = start.count()
     state = cut(start.withColumns({"improved": F.lit(True), "round": F.lit(0)}))
     for r in range(1, k + 1):
-        near = relaxed(state, expand(state.where(F.col("round") == r - 1), edges, bound))
+        near = relaxed(state, arcs.expand(state.where(F.col("round") == r - 1), bound))
         state = cut(near.join(state.select("vertex", "round"), "vertex", "left").withColumn("round", F.coalesce("round", F.lit(r))))
         if state.count() > k * n:
             own = start.select("vertex", F.lit(True).alias("is_pivot"))
@@ -120,7 +180,7 @@ def pivots(edges: DataFrame, sources: DataFrame, k: int, bound: int | None = Non
         if not state.where(F.col("round") == r).limit(1).count():
             break
     rounds = state.select("vertex", "round")
-    tight = tight_edges(edges, state)
+    tight = _tight(arcs.least, state)
     tight = tight.join(rounds.withColumnsRenamed({"vertex": "src", "round": "r_src"}), "src").join(rounds.withColumnsRenamed({"vertex": "dst", "round": "r_dst"}), "dst")
     tight = tight.where("w > 0 or r_src < r_dst")
     parent = tight.groupBy(F.col("dst").alias("vertex")).agg(F.min("src").alias("parent"))

@@ -50,3 +50,18 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     if rows is not None and rows // FILE_ROWS + 1 < int(spark.conf.get("spark.sql.shuffle.partitions")):
         df = df.coalesce(rows // FILE_ROWS + 1)
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """The same rows, stored, dealt to parts and sorted by key, so that a join by it moves the other side only.
+
+    Adaptive execution would forget how the rows are dealt, so it is off while they are.
+    """
+    spark, name = df.sparkSession, "spark.sql.adaptive.enabled"
+    shared_dir(spark)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.repartition(parts, key).sortWithinPartitions(key).checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)

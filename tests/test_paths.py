@@ -101,3 +101,30 @@ def test_pull_queue(spark):
     assert bound == 9 and {tuple(r) for r in rows.collect()} == {(2, 1), (1, 4)}
     bound, rows = queue.pull()
     assert bound == 100 and {tuple(r) for r in rows.collect()} == {(4, 9)} and queue.empty()
+
+
+def test_vertices_with_very_many_edges(spark):
+    rng = random.Random(4)
+    rows = [(0, k, rng.randint(0, 50)) for k in range(1, 300)] + [(rng.randrange(300), rng.randrange(300), rng.randint(0, 9)) for _ in range(300)]
+    want = dijkstra(rows, [(0, 0)])
+    arcs = P.Arcs(digraph(spark, rows), task_edges=100)
+    assert arcs.hot is not None and arcs.spread.select("src").distinct().count() == 1 and arcs.rest.where("src = 0").count() == 0
+    assert {r.vertex: r.dist for r in P._search(arcs, starts(spark, [(0, 0)])).collect()} == want
+    assert P.Arcs(digraph(spark, rows)).hot is None
+
+
+def test_edges_stay_where_they_are(spark, capsys):
+    arcs = P.Arcs(digraph(spark, TOY))
+    arcs.expand(starts(spark, [(0, 0)]).hint("merge")).explain()
+    plan = capsys.readouterr().out
+    assert "hashpartitioning(vertex" in plan and "hashpartitioning(src" not in plan
+
+
+def test_nth_distance(spark):
+    rng = random.Random(5)
+    for spread in (3, 5000, 2**50):
+        values = sorted(rng.randint(-spread, spread) for _ in range(400))
+        labels = starts(spark, list(enumerate(values)))
+        for n in (1, 2, 57, 399, 400):
+            assert P.nth_distance(labels, n) == P.nth_distance(labels, n, top=0) == values[n - 1]
+        assert P.nth_distance(labels, 401) is None and P.nth_distance(labels, 401, top=0) is None
