@@ -49,8 +49,9 @@ def ranked_edges(pairs: DataFrame) -> DataFrame:
 
 def both_ways(pairs: DataFrame) -> DataFrame:
     """Directed edges src, dst, w."""
-    one = pairs.select(F.col("lo").alias("src"), F.col("hi").alias("dst"), "w")
-    return one.unionByName(pairs.select(F.col("hi").alias("src"), F.col("lo").alias("dst"), "w"))
+    w = F.col("w")
+    arc = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"), w.alias("w"))
+    return pairs.select(F.inline(F.array(arc("lo", "hi"), arc("hi", "lo"))))  # a union would make the pairs twice
 
 
 def vertices_of(edges: DataFrame) -> DataFrame:
