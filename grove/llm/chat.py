@@ -22,6 +22,8 @@ from .common import batches, record_batch, slices
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
+#: Characters from which conversations_text() goes on in a further row.
+PART_CHARS = 1 << 20
 _OPEN = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<(\\*)\\\|")
 _TURN = re.compile(re.escape(START) + r"((?:(?!<\|)[^\n])*)\n((?:(?!<\|).)*)" + re.escape(END) + "\n", re.S)
@@ -119,10 +121,29 @@ def read_back(turns: DataFrame) -> DataFrame:
     return ordered(turns).select("conv_id", "formatted").mapInArrow(run, DIGEST)
 
 
-def conversations_text(turns: DataFrame) -> DataFrame:
-    """conv_id and formatted: each conversation as one text, as it is trained on."""
-    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "formatted")))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x["formatted"]), "").alias("formatted"))
+def conversations_text(turns: DataFrame, most: int = PART_CHARS) -> DataFrame:
+    """conv_id, part and formatted: each conversation as it is trained on, in order; a part ends with the turn that brings it to most characters."""
+    out = "conv_id long, part long, formatted string"
+
+    def run(parts):
+        schema, now, number, held, size = batches(out), object(), 0, [], 0
+
+        def closed():
+            return record_batch(schema, [[now], [number], ["".join(held)]])
+
+        for part in slices(parts):
+            for conv, formatted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if held and (conv != now or size >= most):
+                    yield closed()
+                    number, held, size = number + 1, [], 0
+                if conv != now:
+                    now, number = conv, 0
+                held.append(formatted)
+                size += len(formatted)
+        if held:
+            yield closed()
+
+    return ordered(turns).select("conv_id", "formatted").mapInArrow(run, out)
 
 
 def op7_chat_formatting(spark, sf_dir: str) -> DataFrame:

@@ -54,6 +54,23 @@ def test_rows(spark, as_tables):
     assert [r.conv_id for r in chat.op7_chat_formatting(spark, as_tables(conversations=odd.limit(0))).collect()] == [-1]
 
 
+def test_conversations_in_parts(spark):
+    rows = [(c, t, "user" if t % 2 else "assistant", f"turn {t} of {c} " * (1 + t % 5)) for c in (None, 1, 2, 3) for t in range(30)]
+    turns = chat.formatted_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = {}
+    for c, t, role, text in rows:
+        want[c] = want.get(c, "") + chat.render(role, text)
+    for most in (1, 100, 500, 10**9):
+        got = {}
+        for r in chat.conversations_text(turns, most).collect():
+            got.setdefault(r.conv_id, {})[r.part] = r.formatted
+        assert {c: "".join(p[k] for k in range(len(p))) for c, p in got.items()} == want
+        assert all(len(x) >= most for p in got.values() for k, x in p.items() if k < len(p) - 1)
+        sizes = {len(p) for p in got.values()}
+        assert sizes == {1: {30}, 10**9: {1}}.get(most, sizes)
+    assert chat.conversations_text(turns.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("size", ["sf0.001", "odd"])
 def test_sql(spark, as_tables, size):
     folder = f"/root/testdata/{size}"
