@@ -6,7 +6,7 @@ for every context limit, how many documents and tokens reach it and how many tok
 Null and empty texts have length 0. Repeated rows count each, and documents of equal length are one row. Very long texts are
 encoded whole, a few rows at a time. An empty table gives an empty histogram. Columns other than
 the text are not read, so clashing names do no harm. The histogram has at most as many rows as there are distinct lengths
-(under the square root of twice the corpus's tokens), so the one window over it stays small.
+(under the square root of twice the corpus's tokens), so the windows over it stay small.
 """
 
 from __future__ import annotations
@@ -58,12 +58,16 @@ def quantile(histogram: DataFrame, q: float) -> DataFrame:
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
     """For any context limits, whether they occur as a length or not: limit, docs_over, truncated_tokens."""
     spark = histogram.sparkSession
-    wanted = spark.createDataFrame([(int(x),) for x in limits], "`limit` long")
-    joined = wanted.join(histogram.select("length", "n_docs"), how="left", on=F.lit(True))
-    return joined.groupBy("limit").agg(
-        F.coalesce(F.sum(F.when(F.col("length") > F.col("limit"), F.col("n_docs"))), F.lit(0)).alias("docs_over"),
-        F.coalesce(F.sum(F.least("length", "limit") * F.col("n_docs")), F.lit(0)).alias("truncated_tokens"),
-    )
+    wanted = spark.createDataFrame([(int(x),) for x in dict.fromkeys(limits)], "`limit` long")
+    none = F.lit(None).cast("long")
+    rows = histogram.select(none.alias("limit"), F.col("length").alias("at"), "n_docs")
+    rows = rows.unionByName(wanted.select("limit", F.col("limit").alias("at"), F.lit(0).cast("long").alias("n_docs")))
+    down = Window.orderBy(F.desc("at"), F.col("limit").asc_nulls_last())  # a limit before the documents of just its length
+    over = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tokens = F.col("at") * F.col("n_docs")
+    sums = rows.select("limit", F.sum("n_docs").over(over).alias("docs_over"), F.sum(tokens).over(over).alias("_over"), F.sum(tokens).over(everything).alias("_all"))
+    return sums.where("limit is not null").select("limit", "docs_over", (F.col("_all") - F.col("_over") + F.col("limit") * F.col("docs_over")).alias("truncated_tokens"))
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:

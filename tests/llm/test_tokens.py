@@ -84,6 +84,12 @@ def test_histogram_against_brute_force(spark, sf_docs, no_docs, odd_docs):
     limits = {r["limit"]: r for r in token_counts.at_limits(histogram, [0, 100, 2048, 10**7]).collect()}
     for k in limits:
         assert limits[k].truncated_tokens == sum(min(x, k) for x in lengths) and limits[k].docs_over == sum(x > k for x in lengths)
+    some = token_counts.at_limits(histogram, [lengths[0], lengths[0], max(lengths), -1])
+    for r in some.collect():
+        assert r.truncated_tokens == sum(min(x, r["limit"]) for x in lengths) and r.docs_over == sum(x > r["limit"] for x in lengths)
+    assert some.count() == 3 and "NestedLoop" not in some._jdf.queryExecution().toString()
+    empty = token_counts.length_histogram(token_counts.encoded_lengths(no_docs))
+    assert [tuple(r) for r in token_counts.at_limits(empty, [5]).collect()] == [(5, 0, 0)]
     assert token_counts.length_histogram(token_counts.encoded_lengths(no_docs)).count() == 0
     odd = token_counts.length_histogram(token_counts.encoded_lengths(odd_docs)).where("length = 0").first()
     assert odd.n_docs == 2
