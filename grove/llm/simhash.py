@@ -8,7 +8,8 @@ some of the 2^(RADIUS+1) - 1 tables, and a collision is only a candidate: the bi
 Equal fingerprints are one node from the start, so copies, however many, cost one row. A table's groups stream past in
 order; groups of up to GROUP fingerprints are compared as bit matrices, and give a forest of their links instead of all
 pairs. Larger groups are dealt anew, under a further family of masks, until they are small; no pair is lost, as each
-family covers every pair. Links join into components in rounds over tables; nothing of them comes to the driver.
+family covers every pair. Groups of over HOT_GROUP of a family's rows are known from counts beforehand and go on to the next
+family where they are, so that no task meets them whole. Links join into components in rounds over tables; nothing of them comes to the driver.
 
 Null and empty texts have the fingerprint zero. Repeated rows get a row each, of one component. Rows without doc_id take
 part in linking and never name a component unless no other can (then component_id is null). Very long texts count whole.
@@ -30,6 +31,10 @@ RADIUS = 3
 SEED = 42
 GROUP = 1024
 HOT_SHARE = 0.001
+#: Share of a family's rows from which a group isn't sent to one task, not even as a stream; at most 1 / HOT_GROUP groups are such.
+HOT_GROUP = 0.0001
+#: Bins of the first count; what shares none with a large group needs no count of its own.
+BINS = 65_536
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -150,7 +155,16 @@ def _links(keyed: DataFrame, radius: int, group: int) -> DataFrame:
     return dealt.mapInArrow(run, out)
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> DataFrame:
+def _hot_groups(rows: DataFrame, least: int) -> DataFrame:
+    """(a, key) of the groups of over least rows (stored): bins first, whose counts combine before the exchange, then the groups in full bins."""
+    count = F.count("*").alias("n")
+    binned = rows.select("a", "key", F.pmod(F.xxhash64("a", "key"), F.lit(BINS)).alias("bin"))
+    full = binned.groupBy("bin").agg(count).where(F.col("n") > least).select("bin")
+    groups = binned.join(F.broadcast(full), "bin").groupBy("a", "key").agg(count)
+    return cut(groups.where(F.col("n") > least).select("a", "key"), 1)
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP, hot: float = HOT_GROUP) -> DataFrame:
     """(u, v) between distinct fingerprints (column fp), whose components are those of all pairs within the radius.
 
     What no further family divides differs in radius positions or few more, so group must be above 2 ** (radius + 1).
@@ -158,19 +172,30 @@ def links(distinct: DataFrame, radius: int = RADIUS, group: int = GROUP) -> Data
     if group < 2 ** (radius + 1):
         raise ValueError("groups of fingerprints that no mask tells apart would never be small enough")
     keyed, found, family = distinct.select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("key"), "fp"), None, 0
+    size = distinct.count()
     while True:
         masks = covering_masks(radius, family=family)
         table = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("masked")) for k, m in enumerate(masks)]))
         keyed = keyed.select("a", "key", "fp", table.alias("x"))
         # the first family's key is the masked bits themselves; further ones add to the group they divide
         key = F.col("x.masked") if family == 0 else F.xxhash64("a", "key", "x.t", "x.masked")
+        keyed, on = keyed.select(F.col("x.t").alias("a"), key.alias("key"), "fp"), None
+        least = max(group, int(size * len(masks) * hot))
+        if size > least:  # no group has more rows than there are fingerprints
+            large = _hot_groups(keyed, least)
+            if large.count():
+                on = cut(keyed.join(F.broadcast(large), ["a", "key"]))  # at most 1 / hot rows
+                keyed = keyed.join(F.broadcast(large), ["a", "key"], "left_anti")
         # few of the rows give any; an exchange of those is cheaper than a file from every task of the comparison
         files = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)
-        made = cut(_links(keyed.select(F.col("x.t").alias("a"), key.alias("key"), "fp"), radius, group).repartition(files))
+        made = cut(_links(keyed, radius, group).repartition(files))
         own = made.where("fp is null").select("u", "v")
         found = own if found is None else found.unionByName(own)
         keyed = made.where("fp is not null").select("a", "key", "fp")
-        if not keyed.limit(1).count():
+        if on is not None:
+            keyed = keyed.unionByName(on.select("a", "key", "fp"))
+        size = keyed.count()
+        if not size:
             break
         family += 1
     return found

@@ -86,6 +86,22 @@ def test_large_groups_lose_no_link(spark, group):
     assert all(len(x) == 1 for x in root.values()) and len(root) == len(set(want.values()))
 
 
+@pytest.mark.parametrize("hot", [0.0001, 0.01, 1.0])
+def test_hot_groups_give_the_same_links(spark, hot):
+    from grove.operators.components import connected_components
+
+    rng = random.Random(13)
+    centre = rng.getrandbits(64)
+    fps = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(500)} | {rng.getrandbits(64) for _ in range(100)}
+    pairs = list(enumerate(fps))
+    signed = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for _, f in pairs], "fp long")
+    found = {r.node % 2**64: r.component for r in connected_components(simhash.links(signed, group=24, hot=hot)).collect()}
+    root: dict = {}
+    for (_, f), (_, _, c) in zip(pairs, brute_components(pairs), strict=True):
+        root.setdefault(found.get(f, f), set()).add(c)
+    assert all(len(x) == 1 for x in root.values()) and len(root) == len({c for x in root.values() for c in x})
+
+
 def test_one_of_each(spark):
     rows = [(1, "a b c d e", "en"), (2, "a b c d e", "de"), (3, "quite another text of words", None), (3, "quite another text of words", None), (None, None, "en"), (5, "", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as fp")
