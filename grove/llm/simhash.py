@@ -232,16 +232,23 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     doc_id, text = (F.col(f"_c{names.index(c)}") for c in ("doc_id", "text"))
     h, g = _hashes(text)
     found = components(cut(fingerprints(inner.select(doc_id.alias("doc_id"), text.alias("text")), hashed=True)), rooted=True)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("g").alias("_g"), F.col("root").alias("_root")).distinct()
-    rows = inner.join(kept, doc_id.cast("long").eqNullSafe(F.col("_id")) & (h == F.col("_h")) & (g == F.col("_g")))
+    own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "h", "g", "root").agg(F.count("*").alias("n"))
+    own = cut(own.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("g").alias("_g"), F.col("root").alias("_root"), F.col("n").alias("_n")))
+    several = own.groupBy("_root").agg(F.sum("_n").alias("_n")).where("_n > 1").select("_root")
+
+    def rows(kept: DataFrame) -> DataFrame:
+        return inner.join(kept.drop("_n"), doc_id.cast("long").eqNullSafe(F.col("_id")) & (h == F.col("_h")) & (g == F.col("_g")))
+
+    # rows that are the only ones of their component with its name go out as they are; only the others are moved to be compared
+    alone, compared = rows(own.join(several, "_root", "left_anti")), rows(own.join(several, "_root", "left_semi"))
     whole = F.struct(text, *[F.col(c) for c in inner.columns if c != f"_c{names.index('text')}"])
     kinds = inner.select(whole.alias("x")).schema["x"].dataType.simpleString()
     if "map<" in kinds or "variant" in kinds:  # kinds without an order are compared as JSON
         least = F.min_by(whole, F.struct(text, F.to_json(whole)))
     else:
         least = F.min(whole)
-    one = rows.groupBy("_root").agg(least.alias("_row"))
-    return one.select(*[F.col(f"_row._c{k}").alias(c) for k, c in enumerate(names)])
+    one = compared.groupBy("_root").agg(least.alias("_row"))
+    return alone.select(*inner.columns).union(one.select(*[f"_row.{c}" for c in inner.columns])).toDF(*names)
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
